@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..plans.staging import staged
-from .kernel import Words, bounds, distinct, mix, pack, slices, triples, unpack
+from .kernel import Words, bounds, distinct, mix, pack, paragraphs, slices, triples, unpack
 from .sketch import GRAM_BITS, SLOT_BITS, FLAG_A, FLAG_B, LEVEL, SketchWriter, keep_ids, merge_sketch
 
 THRESHOLD = 0.7
@@ -47,8 +47,11 @@ def signature(text: np.ndarray, gram: np.ndarray, n_texts: int) -> tuple[np.ndar
 SCAN = "row_id bigint, sig bigint, n int, side int, part int, data binary"
 
 
-def scan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows(row_id, text, side): staged frames of signatures (row_id, sig, n, side) and of sketch records."""
+def scan(rows: DataFrame, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """rows(row_id, text, side): staged frames of signatures (row_id, sig, n, side) and of sketch records.
+
+    With ``lines`` the sketch also counts the hashes of whole lines.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writers = {0: SketchWriter(), 1: SketchWriter()}
@@ -77,10 +80,13 @@ def scan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 )
                 # copies of a class inside a batch count once, so that large groups of copies don't blur the counts
                 once = np.zeros(m, dtype=bool)
-                once[np.unique(sig, return_index=True)[1]] = True
+                once[np.unique(sig ^ sides[a:b].astype(np.int64), return_index=True)[1]] = True
                 for s in (0, 1):
                     own = (once & (sides[a:b] == s))[text]
                     yield from sketches(s, writers[s].add(gram[own]))
+                if lines:
+                    at, line = distinct(*paragraphs(w))
+                    yield from sketches(0, writers[0].add(line[once[at]]))
         for s in (0, 1):
             yield from sketches(s, writers[s].flush())
 
@@ -104,7 +110,7 @@ def parity(text: np.ndarray, gram: np.ndarray, n_texts: int) -> tuple[np.ndarray
 POSTING = "gram bigint, sig bigint, side int, n int, pos int, p0 bigint, p1 bigint"
 
 
-def postings(rows: DataFrame, cells: np.ndarray, threshold: float = THRESHOLD, crossing: bool = False, extra: Callable | None = None, extra_schema: str = "") -> DataFrame:
+def postings(rows: DataFrame, cells: np.ndarray, threshold: float = THRESHOLD, crossing: bool = False, lines: int = 0, extra: Callable | None = None, extra_schema: str = "") -> DataFrame:
     """A row per class (in each task) and prefix triple that may occur elsewhere.
 
     Order of triples: rare first by the sketch's level, then by hash.  Triples
@@ -140,6 +146,17 @@ def postings(rows: DataFrame, cells: np.ndarray, threshold: float = THRESHOLD, c
                 pos = np.arange(len(text)) - bounds(text, b - a)[text]
                 ok = (pos < prefix_length(n, t)[text]) & ((cell & (FLAG_A | FLAG_B)) == (FLAG_A | FLAG_B) if crossing else (cell & LEVEL) > 1)
                 text, gram, pos = text[ok], gram[ok], pos[ok]
+                if lines:
+                    at, line = distinct(*paragraphs(w))
+                    own = fresh[at]
+                    at, line = at[own], line[own]
+                    lev = sk[(line >> np.uint64(GRAM_BITS - SLOT_BITS)).astype(np.int64)] & LEVEL
+                    at, line, lev = at[lev > 1], line[lev > 1], lev[lev > 1]
+                    order = np.lexsort((line, lev, at))
+                    at, line = at[order], line[order]
+                    few = np.arange(len(at)) - bounds(at, b - a)[at] < lines
+                    at, line = at[few], line[few] | np.uint64(1 << 41)
+                    text, gram, pos = np.concatenate([text, at]), np.concatenate([gram, line]), np.concatenate([pos, np.full(len(at), -1)])
                 if not len(text):
                     continue
                 cols = [gram.view(np.int64), sig[text], side[text].astype(np.int32), n[text].astype(np.int32), pos.astype(np.int32), p0[text], p1[text]]

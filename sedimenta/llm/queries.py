@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship, table
+from .cross_split import cross_split_overlaps, overlap_pairs, overlap_report
+from .history import removed_per_batch, replay
 from .near_duplicates import group_pairs, near_duplicate_groups
 
 
@@ -22,8 +24,33 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pairs(near_duplicate_groups(table(spark, sf_dir, "eval_raw")))
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "eval_raw")).select("row_id", "group_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_pairs(*cross_split_overlaps(table(spark, sf_dir, "eval_raw")))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_report(table(spark, sf_dir, "eval_raw"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay(table(spark, sf_dir, "eval_raw"), table(spark, sf_dir, "generation_stats")).select("batch_id", "row_id")
+
+
+def p7_removed_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_per_batch(table(spark, sf_dir, "eval_raw"), table(spark, sf_dir, "generation_stats"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+    "p7_found": p7_found,
+    "p7_removed_per_batch": p7_removed_per_batch,
 }
 
 
