@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship, table
 from .cross_split import cross_split_overlaps, overlap_pairs, overlap_report
 from .history import removed_per_batch, replay
+from .leakage import leaked_items
 from .near_duplicates import group_pairs, near_duplicate_groups
+from .shared_spans import shared_share, shared_spans, span_pairs
 
 
 def _prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -44,6 +46,23 @@ def p7_removed_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_per_batch(table(spark, sf_dir, "eval_raw"), table(spark, sf_dir, "generation_stats"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompt"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompt"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_pairs(*shared_spans(table(spark, sf_dir, "documents")))
+
+
+def p10_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_share(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -51,6 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_report": p5_report,
     "p7_found": p7_found,
     "p7_removed_per_batch": p7_removed_per_batch,
+    "p8_found": p8_found,
+    "p8_passages": p8_passages,
+    "p10_found": p10_found,
+    "p10_shared_share": p10_shared_share,
 }
 
 
