@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from ..plans.staging import staged
 from .kernel import Words, bounds, distinct, mix, pack, paragraphs, slices, triples, unpack
-from .sketch import GRAM_BITS, SLOT_BITS, FLAG_A, FLAG_B, LEVEL, SketchWriter, keep_ids, merge_sketch
+from .sketch import GRAM_BITS, SLOT_BITS, FLAG_A, FLAG_B, LEVEL, Shared, SketchWriter, keep_ids, merge_sketch
 
 THRESHOLD = 0.7
 #: Rows of one key that a window looks back on; longer runs go through block pairs.
@@ -118,7 +118,7 @@ def postings(rows: DataFrame, cells: np.ndarray, threshold: float = THRESHOLD, c
     only) can't lead to a partner and are left out after the prefix is cut.
     """
     t = Fraction(str(threshold))
-    shared = rows.sparkSession.sparkContext.broadcast(cells)
+    shared = Shared(rows.sparkSession, cells)
     names = [f.split()[0] for f in (POSTING + extra_schema).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

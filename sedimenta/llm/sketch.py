@@ -7,13 +7,14 @@ order or thin out work; no result depends on their collisions.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .kernel import mix
 
@@ -129,6 +130,23 @@ def merge_sketch(parts: DataFrame, side: str | None = None) -> np.ndarray:
     return cells
 
 
+class Shared:
+    """A byte array sent to the workers compressed, and opened once in each worker process."""
+
+    _open: dict[str, np.ndarray] = {}
+
+    def __init__(self, spark: SparkSession, array: np.ndarray):
+        self.sent = spark.sparkContext.broadcast(zlib.compress(array.tobytes(), 1))
+        self.key = uuid.uuid4().hex
+
+    @property
+    def value(self) -> np.ndarray:
+        if self.key not in Shared._open:
+            Shared._open.clear()
+            Shared._open[self.key] = np.frombuffer(zlib.decompress(self.sent.value), dtype=np.uint8)
+        return Shared._open[self.key]
+
+
 def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
     """A Bloom filter with two probes over a column of longs: bits and mask; its size is bounded, not the id count.
 
@@ -171,17 +189,18 @@ def _probes(ids: np.ndarray, mask: int) -> list[np.ndarray]:
     return [(h & np.uint64(mask)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(mask)).astype(np.int64)]
 
 
-def member(filt: tuple[np.ndarray, int], ids: np.ndarray) -> np.ndarray:
-    a, b = _probes(ids, filt[1])
-    return filt[0][a] & filt[0][b]
+def member(packed: np.ndarray, mask: int, ids: np.ndarray) -> np.ndarray:
+    a, b = _probes(ids, mask)
+    return ((packed[a >> 3] << (a & 7).astype(np.uint8)) & (packed[b >> 3] << (b & 7).astype(np.uint8)) & 128).astype(bool)
 
 
 def keep_ids(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     """Rows of df whose id may be in ids (a superset; an exact join has to follow).  Other columns stay in the JVM."""
-    filt = df.sparkSession.sparkContext.broadcast(id_filter(ids))
+    bits, mask = id_filter(ids)
+    filt = Shared(df.sparkSession, np.packbits(bits))
 
     @F.pandas_udf("boolean")
     def may(x: pd.Series) -> pd.Series:
-        return pd.Series(member(filt.value, x.fillna(-1).to_numpy(dtype=np.int64)))
+        return pd.Series(member(filt.value, mask, x.fillna(-1).to_numpy(dtype=np.int64)))
 
     return df.filter(F.col(col).isNotNull()).filter(may(F.col(col)))
