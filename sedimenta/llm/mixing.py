@@ -40,7 +40,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, id_col: str =
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])
 
-    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lower(F.trim(F.regexp_replace(F.col(source), r"^[\s ]+|[\s ]+$", ""))).alias("source"), F.col(text_col).alias("text")).filter("doc_id is not null").mapInArrow(run, "doc_id bigint, source string, tokens bigint")
+    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lower(F.trim(F.regexp_replace(F.col(source), r"^[\s\u00a0]+|[\s\u00a0]+$", ""))).alias("source"), F.col(text_col).alias("text")).filter("doc_id is not null").mapInArrow(run, "doc_id bigint, source string, tokens bigint")
 
 
 def temperature(shares: dict[str, float], toward: dict[str, float], power: float) -> dict[str, float]:

@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship, table
 from .cross_split import cross_split_overlaps, overlap_pairs, overlap_report
+from .defects import defect_labels, defect_posteriors, single_defects
 from .history import removed_per_batch, replay
 from .leakage import leaked_items
+from .mixing import mix_sources
 from .near_duplicates import group_pairs, near_duplicate_groups
+from .page_frame import frame_of_pages, main_bodies
+from .repeated_lines import frequent_sequences, repeated_line_places, without_repeated_lines
 from .shared_spans import shared_share, shared_spans, span_pairs
+from .splitting import page_and_chunk_items, split_oversized
 
 
 def _prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,6 +35,34 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "eval_raw")).select("row_id", "group_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return single_defects(defect_posteriors(table(spark, sf_dir, "eval_raw")))
+
+
+def p2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defect_labels(defect_posteriors(table(spark, sf_dir, "eval_raw")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame_of_pages(table(spark, sf_dir, "scraped_page")).filter("frame").select("page_id", "line_no")
+
+
+def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_bodies(table(spark, sf_dir, "scraped_page"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_line_places(table(spark, sf_dir, "scraped_page"))
+
+
+def p4_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequent_sequences(table(spark, sf_dir, "scraped_page"))[0]
+
+
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(table(spark, sf_dir, "scraped_page"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_pairs(*cross_split_overlaps(table(spark, sf_dir, "eval_raw")))
 
@@ -38,6 +71,18 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(table(spark, sf_dir, "eval_raw"))
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(page_and_chunk_items(table(spark, sf_dir, "scraped_page"), table(spark, sf_dir, "doc_chunk")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).select("kind", "item_id").distinct()
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(table(spark, sf_dir, "eval_raw"), table(spark, sf_dir, "generation_stats")).select("batch_id", "row_id")
 
@@ -55,6 +100,14 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompt"))
 
 
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0].select("doc_id", "source", "tokens", "copies")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_pairs(*shared_spans(table(spark, sf_dir, "documents")))
 
@@ -66,12 +119,23 @@ def p10_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_labels": p2_labels,
+    "p3_found": p3_found,
+    "p3_bodies": p3_bodies,
+    "p4_found": p4_found,
+    "p4_patterns": p4_patterns,
+    "p4_cleaned": p4_cleaned,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
     "p7_found": p7_found,
     "p7_removed_per_batch": p7_removed_per_batch,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_shared_share": p10_shared_share,
 }

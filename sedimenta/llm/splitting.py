@@ -16,7 +16,7 @@ BLOCK_WORDS = 80
 HARD, SENTENCE, LINE, BLOCK, HEADING = range(5)
 KINDS = ("hard", "sentence", "line", "block", "heading")
 _FENCED = re.compile(r"```.*?```", re.S)
-_SENTENCE = re.compile(r"(?<=[.!?;])[\"')\]]*\s+")
+_SENTENCE = re.compile(r"(?<=[.!?;])[\"')\]]*\s+|(?<=[。！？；])")
 _WORD = re.compile(r"[^\W_]+")
 
 
