@@ -30,6 +30,8 @@ from .sketch import GRAM_BITS, SLOT_BITS, FLAG_A, FLAG_B, LEVEL, Shared, SketchW
 THRESHOLD = 0.7
 #: Rows of one key that a window looks back on; longer runs go through block pairs.
 RUN = 256
+#: Sketch level (about 20 occurrences) from which a line is no longer evidence; alike rows also meet in triples.
+LINE_LEVEL = 12
 
 
 def pair_text(instruction: str = "instruction", output: str = "output") -> Column:
@@ -151,7 +153,8 @@ def postings(rows: DataFrame, cells: np.ndarray, threshold: float = THRESHOLD, c
                     own = fresh[at]
                     at, line = at[own], line[own]
                     lev = sk[(line >> np.uint64(GRAM_BITS - SLOT_BITS)).astype(np.int64)] & LEVEL
-                    at, line, lev = at[lev > 1], line[lev > 1], lev[lev > 1]
+                    rare = (lev > 1) & (lev < LINE_LEVEL)
+                    at, line, lev = at[rare], line[rare], lev[rare]
                     order = np.lexsort((line, lev, at))
                     at, line = at[order], line[order]
                     few = np.arange(len(at)) - bounds(at, b - a)[at] < lines
