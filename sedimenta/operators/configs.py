@@ -127,9 +127,14 @@ def patch_yaml(text: str | None, request: str | None) -> str | None:
     return yaml.dump(data, default_flow_style=False, sort_keys=False, allow_unicode=True) if changed else text
 
 
-@F.pandas_udf("string")
-def patch_yaml_udf(text: pd.Series, request: pd.Series) -> pd.Series:
-    return pd.Series([patch_yaml(t, r) for t, r in zip(text, request)])
+def patched(text: Column, request: Column) -> Column:
+    """patch_yaml over columns, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def patch(t: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([patch_yaml(x, y) for x, y in zip(t, r)])
+
+    return patch(text, request)
 
 
 def registry(spark: SparkSession) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,7 +27,10 @@ def stream_ingest(spark: SparkSession, source: str, schema: str, key: str = "chu
         fresh = batch.join(first, key).filter(F.col(order) == F.col("_o")).drop("_o").dropDuplicates([key]).join(known, key, "left_anti")
         fresh.select(*fields.names).write.mode("append").parquet(store)
 
-    stream = spark.readStream.schema(fields).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    reader = spark.readStream.schema(fields).option("maxFilesPerTrigger", files_per_batch)
+    if os.path.isfile(source):  # a stream reads folders: of a single file, its folder by name
+        reader, source = reader.option("pathGlobFilter", os.path.basename(source)), os.path.dirname(source)
+    stream = reader.parquet(source)
     query = stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(fields).parquet(store)
