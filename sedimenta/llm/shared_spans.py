@@ -17,6 +17,8 @@ from .sketch import keep_ids
 #: Length of a token (a character window) and number of windows of which the least becomes a node.
 TOKEN, WINDOW = 40, 128
 LEAST = 300
+#: Lengths of the texts before and behind an edge that are hashed with it, 16 bits each.
+FLANKS = (4, 16, 48)
 _NONE = 0
 
 
@@ -43,7 +45,18 @@ def _node_starts(h: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(chosen & ~(same[1:] & same[:-1]))
 
 
-SCHEMA = "doc_id bigint, sig bigint, edge bigint, s int, e int"
+SCHEMA = "doc_id bigint, sig bigint, edge bigint, s int, e int, before bigint, behind bigint"
+
+
+def _flanks(total: np.ndarray, start: np.ndarray, end: np.ndarray, sign: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """16-bit hashes of the texts of FLANKS' lengths before start (sign -1) or behind end (+1), packed; 0 where the text is too short."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    for k, n in enumerate(FLANKS):
+        a, b = (start - n, start) if sign < 0 else (end, end + n)
+        ok = (a >= lo) & (b <= hi)
+        h = range_hash(total, np.where(ok, a, 0), np.where(ok, b, 0)) >> np.uint64(48)
+        out |= np.where(ok, np.maximum(h, np.uint64(1)), np.uint64(0)) << np.uint64(16 * k)
+    return out
 
 
 def graph_edges(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -61,6 +74,8 @@ def graph_edges(documents: DataFrame, least: int = LEAST) -> DataFrame:
     if width < 8:
         raise ValueError("spans need at least 55 characters")
 
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -72,7 +87,7 @@ def graph_edges(documents: DataFrame, least: int = LEAST) -> DataFrame:
                 sig = range_hash(total, off[:-1], off[1:] - 1).view(np.int64)
                 fresh = np.array([s not in seen and not seen.add(s) for s in sig.tolist()], dtype=bool)
                 m = b - a
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(sig), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], names=["doc_id", "sig", "edge", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(sig), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
                 n = len(cp) - TOKEN + 1
                 if n < 1:
                     continue
@@ -85,16 +100,14 @@ def graph_edges(documents: DataFrame, least: int = LEAST) -> DataFrame:
                 s, e, t = at[pair], at[pair + 1] + TOKEN if len(pair) else at[pair], text[at[pair]]
                 edge = range_hash(total, s, e).view(np.int64)
                 k = len(pair)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, pa.int64()), pa.array(sig[t]), pa.array(edge), pa.array((s - off[t]).astype(np.int32)), pa.array((e - off[t]).astype(np.int32))],
-                    names=["doc_id", "sig", "edge", "s", "e"],
-                )
+                sides = [_flanks(total, s, e, sign, off[t], off[1:][t] - 1).view(np.int64) for sign in (-1, 1)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(sig[t]), pa.array(edge), pa.array((s - off[t]).astype(np.int32)), pa.array((e - off[t]).astype(np.int32)), *map(pa.array, sides)], names=names)
 
     return documents.filter(F.length("text") >= least).select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def compacted_paths(edges: DataFrame) -> DataFrame:
-    """edges(sig, edge, s, e) -> (path, sig, s, e): unbranched paths of repeated edges and where each stands.
+    """edges(sig, edge, s, e, before, behind) -> (path, sig, s, e, before, behind): unbranched paths of repeated edges and where each stands.
 
     An edge is repeated if texts of two signatures hold it.  Neighbouring
     repeated edges join where the first has no other successor and the second no
@@ -106,16 +119,30 @@ def compacted_paths(edges: DataFrame) -> DataFrame:
     by = Window.partitionBy("sig").orderBy("s")
     prev, after = F.lag(F.struct("edge", "e")).over(by), F.lead(F.struct("edge", "s")).over(by)
     linked = rep.withColumn("p", prev).withColumn("q", after)
-    linked = linked.withColumn("before", F.when(F.col("p.e") - TOKEN == F.col("s"), F.col("p.edge")).otherwise(_NONE))
-    linked = linked.withColumn("behind", F.when(F.col("q.s") == F.col("e") - TOKEN, F.col("q.edge")).otherwise(_NONE)).drop("p", "q")
-    ends = linked.groupBy("edge").agg(
-        (F.min("before") == F.max("before")).alias("one_in"),
-        (F.min("behind") == F.max("behind")).alias("one_out"),
-    )
+    linked = linked.withColumn("last", F.when(F.col("p.e") - TOKEN == F.col("s"), F.col("p.edge")).otherwise(_NONE))
+    linked = linked.withColumn("next", F.when(F.col("q.s") == F.col("e") - TOKEN, F.col("q.edge")).otherwise(_NONE)).drop("p", "q")
+    ends = linked.groupBy("edge").agg((F.min("last") == F.max("last")).alias("one_in"), (F.min("next") == F.max("next")).alias("one_out"))
     known = linked.join(ends, "edge")
-    joins = F.col("one_in") & (F.col("before") != _NONE) & F.coalesce(F.lag("one_out").over(by), F.lit(False))
+    joins = F.col("one_in") & (F.col("last") != _NONE) & F.coalesce(F.lag("one_out").over(by), F.lit(False))
     part = known.withColumn("begins", (~joins).cast("int")).withColumn("run", F.sum("begins").over(by))
-    return part.groupBy("sig", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.xxhash64(F.array_sort(F.collect_list(F.struct(F.col("s") - F.lit(0), "edge")))["edge"]).alias("path")).select("path", "sig", "s", "e")
+    whole = F.xxhash64(F.array_sort(F.collect_list(F.struct("s", "edge")))["edge"]).alias("path")
+    ends = [F.min_by("before", "s").alias("before"), F.max_by("behind", "e").alias("behind")]
+    return part.groupBy("sig", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), whole, *ends).select("path", "sig", "s", "e", "before", "behind")
+
+
+def meeting_keys(paths: DataFrame, least: int) -> DataFrame:
+    """paths with (side, flank), up to two rows an occurrence: what two texts have to share to have ``least`` characters in common.
+
+    A path shorter than ``least`` has to be continued equally by the missing
+    characters, hence by half of them on one side at least; the hash of the
+    longest flank within that half is asked for on either side.
+    """
+    half = F.ceil((F.lit(least) - (F.col("e") - F.col("s"))) / 2)
+    bits = lambda c: F.coalesce(*[F.when(half >= n, F.shiftright(F.col(c), 16 * k).bitwiseAND(F.lit(65535))) for k, n in reversed(list(enumerate(FLANKS)))])
+    both = F.array(F.struct(F.lit(1).alias("side"), bits("before").alias("flank")), F.struct(F.lit(2).alias("side"), bits("behind").alias("flank")))
+    free = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("flank")))
+    asked = F.when(half < FLANKS[0], free).otherwise(F.filter(both, lambda x: x["flank"] > 0))
+    return paths.select("path", "sig", "s", "e", F.explode(asked).alias("k")).select("path", "k.side", "k.flank", "sig", "s", "e")
 
 
 def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, whole: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -140,14 +167,15 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     graph = staged(graph_edges(docs, least), "span-graph")
     found = graph.filter("edge is null").select("doc_id", "sig")
     sizes = found.groupBy("sig").agg(F.count(F.lit(1)).alias("cnt"), F.min("doc_id").alias("rep"))
-    paths = compacted_paths(graph.filter("edge is not null").select("sig", "edge", "s", "e"))
-    met = meetings(paths, ["path"], ["sig", "s", "e"], lambda a, b: a("sig") != b("sig"), "paths", ["path", "sig", "s"])
+    paths = compacted_paths(graph.filter("edge is not null").drop("doc_id"))
+    keys = ["path", "side", "flank"]
+    met = meetings(meeting_keys(paths, least), keys, ["sig", "s", "e"], lambda a, b: a("sig") != b("sig"), "paths", [*keys, "sig", "s"])
     turn = F.col("a.sig") < F.col("b.sig")
     x, y = F.when(turn, F.col("a")).otherwise(F.col("b")), F.when(turn, F.col("b")).otherwise(F.col("a"))
     aligned = met.filter("a.sig <> b.sig").select(x.alias("x"), y.alias("y")).select(F.col("x.sig").alias("sig_a"), F.col("y.sig").alias("sig_b"), F.col("x.s").alias("s"), F.col("x.e").alias("e"), (F.col("x.s") - F.col("y.s")).alias("shift"))
     by = Window.partitionBy("sig_a", "sig_b", "shift").orderBy("s", "e")
     reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    isles = aligned.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("s")).cast("int")).withColumn("isle", F.sum("new").over(by))
+    isles = aligned.distinct().withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("s")).cast("int")).withColumn("isle", F.sum("new").over(by))
     merged = isles.groupBy("sig_a", "sig_b", "shift", "isle").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     merged = staged(merged.withColumn("sure", F.max(F.col("e") - F.col("s")).over(Window.partitionBy("sig_a", "sig_b")) >= least), "span-candidates")
     open_ = merged if whole else merged.filter("not sure")
@@ -199,5 +227,4 @@ def shared_share(documents: DataFrame, least: int = LEAST) -> DataFrame:
     covered = ends.withColumn("fresh", fresh).groupBy("sig").agg(F.sum("fresh").alias("covered"))
     known = members.join(covered, "sig", "left").select("doc_id", "cnt", "covered")
     n = F.coalesce(F.length("text"), F.lit(0))
-    shared = F.when(F.col("cnt") > 1, n).otherwise(F.coalesce("covered", F.lit(0)))
     return documents.select("doc_id", n.alias("n_chars")).join(known, "doc_id", "left").select("doc_id", "n_chars", F.when(F.col("cnt") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("int").alias("shared_chars")).withColumn("shared_share", F.round(F.col("shared_chars") / F.greatest("n_chars", F.lit(1)), 6))
