@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -38,6 +39,7 @@ _BLANKS = re.compile(r"[ \t\u00a0]+")
 _DIGITS = re.compile(r"[0-9]+")
 _WORD = re.compile(r"[^\W_]+")
 _TRAIL = re.compile(r"\s+(?:>|/|»|::|›|→|\\|\||•)\s+|,\s+")
+_HERE = re.compile(r"^you are here\s*:?\s*", re.I)
 _STAMP = re.compile(r"^(revision|page id|build|version id|node|request id|document id|ref)\b.*\b(served|rendered|generated|built)\b", re.I)
 
 
@@ -47,12 +49,13 @@ def host_of(url: str | None) -> str:
 
 
 def tidy(line: str) -> str:
-    return _BLANKS.sub(" ", line).strip()
+    s = line.strip()
+    return s if "  " not in s and "\t" not in s and "\u00a0" not in s else _BLANKS.sub(" ", s)
 
 
-def label(line: str) -> str:
-    """A line without bullet, case and digits: what a constant node keeps."""
-    return _DIGITS.sub("0", _BULLET.sub("", tidy(line)).lower())
+def label(clean: str) -> str:
+    """A tidy line without bullet, case and digits: what a constant node keeps."""
+    return _DIGITS.sub("0", _BULLET.sub("", clean).lower())
 
 
 class Tree:
@@ -60,11 +63,11 @@ class Tree:
 
     def __init__(self, content: str):
         self.lines = content.split("\n")
+        self.clean = [tidy(x) for x in self.lines]
         self.kind: list[str] = []
         self.groups: list[tuple[str, list[int]]] = []
         fenced, last = False, ""
-        for i, raw in enumerate(self.lines):
-            s = tidy(raw)
+        for i, s in enumerate(self.clean):
             mark = s.startswith("```")
             if fenced or mark:
                 kind = "code"
@@ -72,7 +75,7 @@ class Tree:
                 kind = ""
             elif s.startswith("#") and s.lstrip("#")[:1] == " ":
                 kind = "heading"
-            elif re.match(r"^[*•·-]\s", s):
+            elif s[0] in "*•·-" and s[1:2] == " ":
                 kind = "list"
             elif s.startswith("|"):
                 kind = "table"
@@ -88,13 +91,13 @@ class Tree:
             last = kind
         if fenced:  # a fence that stays open: what follows the next blank line is read as if it had closed there
             self._reopen()
-        self.labels = [label(x) if k else "" for x, k in zip(self.lines, self.kind)]
+        self.labels = [label(x) if k else "" for x, k in zip(self.clean, self.kind)]
 
     def _reopen(self) -> None:
-        open_at = max(i for i, x in enumerate(self.lines) if tidy(x).startswith("```"))
-        end = next((i for i in range(open_at + 1, len(self.lines)) if not tidy(self.lines[i])), len(self.lines))
+        open_at = max(i for i, x in enumerate(self.clean) if x.startswith("```"))
+        end = next((i for i in range(open_at + 1, len(self.clean)) if not self.clean[i]), len(self.clean))
         for i in range(end, len(self.lines)):
-            s = tidy(self.lines[i])
+            s = self.clean[i]
             self.kind[i] = "" if not s else "heading" if s.startswith("#") and s.lstrip("#")[:1] == " " else "list" if re.match(r"^[*•·-]\s", s) else "text"
         self.groups = []
         last = ""
@@ -186,9 +189,9 @@ def frame_lines(tree: Tree, constant: set[int], site: str, trail: list[str], tit
     """For each line whether it belongs to the frame: constant nodes that aren't part of the text, and the slots that hang on them."""
     n = len(tree.lines)
     out = [False] * n
-    bare = [_BULLET.sub("", tidy(x)) for x in tree.lines]
+    bare = [_BULLET.sub("", x) for x in tree.clean]
     low = [b.lower().rstrip(":") for b in bare]
-    heads = {low_heading(tree.lines[i]) for i in range(n) if tree.kind[i] == "heading"}
+    heads = {low_heading(tree.clean[i]) for i in range(n) if tree.kind[i] == "heading"}
     name = site.lower()
     crumbs = [tidy(c).lower() for c in trail if c]
 
@@ -210,7 +213,7 @@ def frame_lines(tree: Tree, constant: set[int], site: str, trail: list[str], tit
         t = low[i]
         note = bool(NOTE.match(s)) and not (name and t.startswith(name))
         arrows = s.startswith(("←", "‹", "<-", "«")) or s.endswith(("→", "›", "->")) or bool(re.match(r"(previous|prev|next)\s*[:|]", t))
-        parts = [p.lower() for p in _TRAIL.split(re.sub(r"^you are here\s*:?\s*", "", s, flags=re.I)) if p]
+        parts = [p.lower() for p in _TRAIL.split(_HERE.sub("", s)) if p] if len(s) < 400 else []
         if note:
             follow = ""
         elif is_title(i, OUTLINE_TITLES):
@@ -225,7 +228,7 @@ def frame_lines(tree: Tree, constant: set[int], site: str, trail: list[str], tit
             out[i], follow = True, ""
         elif len(parts) > 1 and (len(crumbs) > 1 and set(parts) <= set(crumbs) | {name} or parts[-1] == title.lower() and (not name or parts[0] == name)):
             out[i], follow = True, ""
-        elif _STAMP.match(s) or CUES.search(s) and (words(i) <= 24 and (tree_constant(tree, i, constant) or strong(s, name))):
+        elif s.count(" ") < 30 and (_STAMP.match(s) or cued(s) and words(i) <= 24):
             out[i], follow = True, ""
         elif re.sub(r"^jump to\s+", "", t) in heads and (follow == "outline" or t not in heads or kind != "list"):
             out[i] = True
@@ -237,7 +240,7 @@ def frame_lines(tree: Tree, constant: set[int], site: str, trail: list[str], tit
             out[i] = True
         elif tree_constant(tree, i, constant) and words(i) <= 5 and not s.endswith((".", ";", "!")) and not re.search(r"[0-9]", s):
             out[i], follow = True, ""  # menu entries
-        elif s.count(" | ") >= 3 and all(len(_WORD.findall(p)) <= 4 for p in s.split(" | ")) and (tree_constant(tree, i, constant) or all(_key(label(p)) in constant for p in s.split(" | "))):
+        elif s.count(" | ") >= 3 and all(len(_WORD.findall(p)) <= 4 for p in s.split(" | ")) and (tree_constant(tree, i, constant) or all(_key(label(p.strip())) in constant for p in s.split(" | "))):
             out[i], follow = True, ""
         elif name and name in t and tree_constant(tree, i, constant):
             out[i], follow = True, ""
@@ -246,12 +249,10 @@ def frame_lines(tree: Tree, constant: set[int], site: str, trail: list[str], tit
     return out
 
 
-def strong(s: str, name: str) -> bool:
-    """Cues that mark a line by themselves; others need a constant node."""
-    return len(_WORD.findall(s)) <= 24 and not _BODY_CUE.search(s)
-
-
-_BODY_CUE = re.compile(r"\b(session cookies|revision of the|menu of the)\b", re.I)
+@lru_cache(maxsize=200_000)
+def cued(s: str) -> bool:
+    """Whether a line has words of page furniture; frame lines come again and again, so most answers are remembered."""
+    return bool(CUES.search(s))
 
 
 def low_heading(line: str) -> str:
@@ -310,7 +311,7 @@ def judge(content: str, constant: set[int], site: str, crumbs: list[str] | None,
     trail = [c for c in crumbs or [] if c]
     own = title or (trail[-1] if trail else "") or next((low_heading(x) for x, k in zip(tree.lines, tree.kind) if k == "heading"), "")
     flags = frame_lines(tree, constant, site or (trail[0] if trail else ""), trail, own)
-    return [f if tidy(x) else None for f, x in zip(flags, tree.lines)]
+    return [f if x else None for f, x in zip(flags, tree.clean)]
 
 
 def main_bodies(pages: DataFrame) -> DataFrame:
