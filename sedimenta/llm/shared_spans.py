@@ -40,9 +40,9 @@ def _node_starts(h: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
         high[step:] = np.maximum(high[step:], high[:-step].copy())
         step *= 2
     chosen = ok & (high == h) & (high > 0)
-    # inside a run of one repeated character all tokens are equal: its ends stand for it
-    same = np.concatenate([[False], h[1:] == h[:-1], [False]])
-    return np.flatnonzero(chosen & ~(same[1:] & same[:-1]))
+    # inside a run of one repeated character all tokens are equal: two at either end stand for it
+    same = np.concatenate([[False, False], h[1:] == h[:-1], [False, False]])
+    return np.flatnonzero(chosen & ~(same[:-3] & same[1:-2] & same[2:-1] & same[3:]))
 
 
 SCHEMA = "doc_id bigint, sig bigint, edge bigint, s int, e int, before bigint, behind bigint"
