@@ -112,7 +112,7 @@ def parity(text: np.ndarray, gram: np.ndarray, n_texts: int) -> tuple[np.ndarray
 POSTING = "gram bigint, sig bigint, side int, n int, pos int, p0 bigint, p1 bigint"
 
 
-def postings(rows: DataFrame, cells: np.ndarray, threshold: float = THRESHOLD, crossing: bool = False, lines: int = 0, extra: Callable | None = None, extra_schema: str = "") -> DataFrame:
+def postings(rows: DataFrame, cells: np.ndarray, threshold: float = THRESHOLD, crossing: bool = False, lines: int = 0, single: bool = False, extra: Callable | None = None, extra_schema: str = "") -> DataFrame:
     """A row per class (in each task) and prefix triple that may occur elsewhere.
 
     Order of triples: rare first by the sketch's level, then by hash.  Triples
@@ -146,7 +146,7 @@ def postings(rows: DataFrame, cells: np.ndarray, threshold: float = THRESHOLD, c
                 order = np.argsort(key)
                 text, gram, cell = text[order], gram[order], cell[order]
                 pos = np.arange(len(text)) - bounds(text, b - a)[text]
-                ok = (pos < prefix_length(n, t)[text]) & ((cell & (FLAG_A | FLAG_B)) == (FLAG_A | FLAG_B) if crossing else (cell & LEVEL) > 1)
+                ok = (pos < prefix_length(n, t)[text]) & ((cell & (FLAG_A | FLAG_B)) == (FLAG_A | FLAG_B) if crossing else single | ((cell & LEVEL) > 1))
                 text, gram, pos = text[ok], gram[ok], pos[ok]
                 if lines:
                     at, line = distinct(*paragraphs(w))
@@ -239,6 +239,40 @@ def block_pairs(rows: DataFrame, keys: list[str], item: str, match: Callable | N
     return both.select(*keys, "a", "b")
 
 
+def gram_sets(rows: DataFrame) -> DataFrame:
+    """row_id, grams (packed set of triples) of rows(row_id, text)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                w = Words(texts[a:b])
+                first, raw = triples(w)
+                text, gram = distinct(w.text[first], raw)
+                at = bounds(text, b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([pack(gram[x:y]) for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["row_id", "grams"])
+
+    return rows.select("row_id", "text").mapInArrow(cut, "row_id bigint, grams binary")
+
+
+def jaccard_pairs(met: DataFrame, threshold: float) -> DataFrame:
+    """met(sig_a, sig_b, grams_a, grams_b) -> (sig_a, sig_b) of those that are alike."""
+    t = Fraction(str(threshold))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                x, y = unpack(x), unpack(y)
+                o = len(np.intersect1d(x, y, assume_unique=True))
+                if o * t.denominator >= t.numerator * (len(x) + len(y) - o):
+                    hit.append(i)
+            take = pa.array(hit, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], names=["sig_a", "sig_b"])
+
+    return met.select("sig_a", "sig_b", "grams_a", "grams_b").mapInArrow(check, "sig_a bigint, sig_b bigint")
+
+
 def verify(rows: DataFrame, signs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, name: str = "edges", coverage: bool = False) -> DataFrame:
     """Of distinct pairs (sig_a, sig_b) those that are alike, staged.  Only texts of candidate classes are cut again.
 
