@@ -145,5 +145,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: _prepared(f) for k, f in QUERIES.items()}
 
 
+# Exact definitions in SQL, by counting common triples of all pairs, comparing all windows, and so on:
+# right on whole tables of the small scales, where they serve as a second opinion.
+_WORDS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_PAIR = "coalesce(instruction, '') || ' ' || coalesce(output, '')"
+_GRAMS = f"""w AS (SELECT row_id, lower(trim(split)) AS split, {_WORDS.format(_PAIR)} AS w FROM eval_raw),
+  g AS (SELECT DISTINCT row_id, split, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+  n AS (SELECT row_id, count(*) AS n FROM g GROUP BY row_id)"""
+_ALIKE = """c AS (SELECT x.row_id AS a, y.row_id AS b, count(*) AS o FROM g x JOIN g y ON x.g = y.g WHERE {0} GROUP BY 1, 2),
+  e AS (SELECT a, b FROM c JOIN n p ON p.row_id = a JOIN n q ON q.row_id = b WHERE 10 * o >= 7 * (p.n + q.n - o))"""
+_LINE = r"regexp_replace(lower(regexp_replace(regexp_replace(line, '[ \t\x{00A0}]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), '[0-9]+', '0', 'g')"
+_CODE = "(length(content) - length(regexp_replace(content, '(?s)```.*?```', '', 'g')))"
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH RECURSIVE {_GRAMS}, {_ALIKE.format("x.row_id < y.row_id")}, s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+      r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b)
+      SELECT a AS row_id_a, b AS row_id_b FROM r WHERE a < b""",
+    "p4_found": f"""WITH l AS (SELECT page_id, section, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(0, len(string_split(content, chr(10))) - 1)) AS line_no FROM scraped_page WHERE content IS NOT NULL AND section IS NOT NULL),
+      k AS (SELECT page_id, section, CAST(line_no AS INT) AS line_no, {_LINE} AS key FROM l),
+      s AS (SELECT section, count(DISTINCT page_id) AS pages FROM scraped_page GROUP BY section),
+      f AS (SELECT section, key FROM k JOIN s USING (section) WHERE length(key) >= 12 GROUP BY section, key, pages HAVING count(DISTINCT page_id) >= greatest(3, 0.05 * pages))
+      SELECT page_id, line_no FROM k JOIN f USING (section, key)""",
+    "p5_found": f"""WITH {_GRAMS}, {_ALIKE.format("x.split = 'train' AND y.split IN ('eval', 'test')")}
+      SELECT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM e""",
+    "p6_found": f"""SELECT kind, id AS item_id FROM (SELECT 'page' AS kind, page_id AS id, content FROM scraped_page UNION ALL SELECT 'chunk', chunk_row, content FROM doc_chunk)
+      WHERE trunc((length(content) - {_CODE}) / 4.0::DOUBLE + {_CODE} / 3.2::DOUBLE) > 1000""",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format("prompt")} AS w FROM eval_prompt),
+      x AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 9), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM d WHERE len(w) >= 10),
+      y AS (SELECT item_id, unnest(list_transform(generate_series(1, len(w) - 9), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM i WHERE len(w) >= 10)
+      SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)""",
+    "p10_found": """WITH w AS (SELECT DISTINCT doc_id, hash(unnest(list_transform(generate_series(1, length(text) - 299), lambda k: substr(text, k, 300)))) AS h FROM documents WHERE length(text) >= 300),
+      r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), s AS (SELECT doc_id, h FROM w SEMI JOIN r USING (h))
+      SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
