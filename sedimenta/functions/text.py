@@ -17,8 +17,13 @@ def is_blank(c: Column) -> Column:
     return ~F.coalesce(c, F.lit("")).rlike(NOT_BLANK)
 
 
+#: The same blanks as characters.
+BLANKS = " \t\n\x0b\x0c\r\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
+    """Without blanks at both ends; no regular expression, as it runs over whole texts."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_blank, strip, tail_words, token_estimate
+from ..plans.staging import spread
 
 TARGET, OVERLAP, SMALL = 1000, 150, 100
 _CUT, _END = "\u0001", "\u0002"
@@ -199,7 +200,7 @@ def chunk_pages(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP,
                     rows.append((f"{key}_{n:03d}", text.strip(_BLANKS), url, title, section, label, _tokens(text), path, crumbs, "```" in text))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kind)], names=[f.split()[0] for f in schema.split(", ")])
 
-    return kept.mapInArrow(run, schema)
+    return spread(kept).mapInArrow(run, schema)
 
 
 def chunk_metadata(chunks: DataFrame) -> DataFrame:

@@ -11,11 +11,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.actions import ACTIONS, CHECKS, COMMANDS, DESTRUCTIVE, ON_FAILURE, PARAMETERS, RISKS
 from ..functions.text import drop_fence_lines, strip_fence
+from ..plans.staging import spread, staged
 
 _Loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 SCHEMA_KEYS = ("metadata:", "steps:", "error:", "version:", "validation:", "rollback:")
@@ -48,7 +52,7 @@ def _step(x) -> dict:
     params, deps = x.get("params"), x.get("depends_on")
     return {
         "id": _scalar(x.get("id")), "action": _scalar(x.get("action")), "description": _scalar(x.get("description")),
-        "params": {str(k): _scalar(v) for k, v in params.items()} if isinstance(params, dict) else {},
+        "params": list({str(k): _scalar(v) for k, v in params.items()}.items()) if isinstance(params, dict) else [],
         "depends_on": [_scalar(d) for d in deps] if isinstance(deps, list) else [],
         "on_failure": _scalar(x.get("on_failure")), "timeout_seconds": _scalar(x.get("timeout_seconds")), "retry_count": _scalar(x.get("retry_count")),
     }
@@ -76,17 +80,15 @@ def flatten(text: str | None) -> dict:
 
 def parse_configs(rows: DataFrame, key: str = "row_id", text: str = "output", flavour: Column | None = None) -> DataFrame:
     """key and the columns of CONFIG; fences are stripped first.  Null text parses as an empty document, no mapping."""
-    schema = f"{key} {dict(rows.dtypes)[key]}, {CONFIG}"
+    schema = _parse_datatype_string(f"{key} {dict(rows.dtypes)[key]}, {CONFIG}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pd.DataFrame([flatten(t) for t in pdf["_t"]])
-            out.insert(0, key, pdf[key].to_numpy())
-            for c in ("steps", "rollback_steps"):
-                out[c] = [v if isinstance(v, list) else None for v in out[c]] if len(out) else out[c]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            out = [{key: k, **flatten(t)} for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return rows.select(key, (flavour if flavour is not None else strip_fence(F.col(text))).alias("_t")).mapInPandas(run, schema)
+    return spread(rows.select(key, (flavour if flavour is not None else strip_fence(F.col(text))).alias("_t"))).mapInArrow(run, schema)
 
 
 def yaml_parseable(rows: DataFrame, key: str = "row_id", text: str = "output") -> DataFrame:
@@ -218,7 +220,7 @@ def warnings() -> Column:
 
 def validate(rows: DataFrame, key: str = "row_id", text: str = "output") -> DataFrame:
     """key, is_valid, errors, warnings, n_steps: an error configuration that is well formed is valid at once."""
-    parsed = parse_configs(rows, key, text).withColumn("errors", structure_errors()).withColumn("warnings", warnings())
+    parsed = staged(parse_configs(rows, key, text).withColumn("errors", structure_errors()).withColumn("warnings", warnings()), "configs")
     steps = parsed.filter((F.size("errors") == 0) & ~F.col("is_error")).select(key, F.explode("steps").alias("s")).select(key, F.col("s.id").alias("id"), F.col("s.action").alias("action"), F.col("s.params").alias("params"))
     wrong = param_errors(steps, [key, "id"]).groupBy(key).agg(F.array_sort(F.collect_set(F.concat_ws(" ", "id", "param", "problem"))).alias("param_errors"))
     out = parsed.join(wrong, key, "left")

@@ -47,17 +47,19 @@ def reject_reasons(rows: DataFrame, order: str = "row_id", instruction: str = "i
 
 
 def quality_report(reasons: DataFrame) -> DataFrame:
-    """One row of counters over reject reasons."""
-    n = lambda *r: F.count_if(F.col("reason").isin(*r))
-    return reasons.agg(
-        F.count(F.lit(1)).alias("total_in"),
+    """One row of counters over reject reasons, counted by reason first, so that each row's reason is worked out once."""
+    by = reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    n = lambda *r: total(F.col("reason").isin(*r))
+    return by.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_in"),
         n("empty").alias("empty"),
         n("exact_duplicate").alias("exact_duplicates"),
         n("near_duplicate").alias("near_duplicates"),
         n("instruction_short", "output_short").alias("too_short"),
         n("instruction_long", "output_long").alias("too_long"),
-        F.count_if(F.col("reason").isNull()).alias("total_out"),
-        F.count_if(F.col("reason").isNotNull()).alias("removed"),
+        total(F.col("reason").isNull()).alias("total_out"),
+        total(F.col("reason").isNotNull()).alias("removed"),
     )
 
 
