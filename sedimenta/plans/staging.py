@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +39,11 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many (short) rows, counted now; else unmarked, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt to all cores where a scan has fewer partitions than there are cores, as with one small file; else as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
