@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..plans.staging import staged
+from ..plans.staging import bounded, staged
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splitting pattern of the vocabulary (fixed value, published with it).
@@ -135,7 +135,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
     inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id")
     keyed = placed.join(F.broadcast(edge.select("source", "block", "before")), ["source", "block"])
     partly = keyed.withColumn("upto", F.col("before") + F.sum("tokens").over(inside)).filter("upto <= rest").select("source", "block", "doc_id")
-    extra = placed.join(F.broadcast(taken.filter("whole").select("source", "block")), ["source", "block"], "left_semi").select("source", "block", "doc_id").unionByName(partly)
+    extra = placed.join(bounded(taken.filter("whole").select("source", "block")), ["source", "block"], "left_semi").select("source", "block", "doc_id").unionByName(partly)
     once = placed.filter("passes > 0").select("doc_id", "source", "tokens", "passes", "block")
     more = extra.join(placed.select("doc_id", "tokens", "block"), ["doc_id", "block"]).select("doc_id", "source", "tokens", F.lit(1).alias("passes"), "block")
     mixture = staged(once.unionByName(more).groupBy("doc_id", "source", "tokens").agg(F.sum("passes").cast("int").alias("copies"), F.min("block").alias("first_block")), "mixture")
