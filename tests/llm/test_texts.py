@@ -120,6 +120,26 @@ def test_longer_sequences(spark):
     assert got == {2: 6, 3: 6}
 
 
+def test_sequences_of_any_length_and_gap(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    rnd = random.Random(4)
+    names = [f"common line {chr(97 + k) * 3}" for k in range(8)]
+    texts = [[x for x in names if rnd.random() < 0.8] + rnd.sample(names, 2) for _ in range(12)]
+    df = spark.createDataFrame([(i, "\n".join(t), "s") for i, t in enumerate(texts)], "page_id bigint, content string, section string")
+    holders = Counter(s for t in texts for s in {c for n in range(1, len(t) + 1) for c in combinations(t, n)})
+    want = Counter((len(s), v) for s, v in holders.items() if v >= 3)
+    patterns, found = R.frequent_sequences(df)
+    got = patterns.collect()
+    assert Counter((r.length, r.pages) for r in got) == want and max(n for n, _ in want) > 5
+    pairs = {a + b: v for (a, b), v in ((s, v) for s, v in holders.items() if len(s) == 2) if v >= 3}
+    assert len(pairs) > 7 * 8 / 2
+    ends = found.filter("length > 1").groupBy("pattern", "length").count().collect()
+    assert {(r.pattern, r["count"]) for r in ends} == {(r.pattern, r.pages) for r in got if r.length > 1}
+
+
+
 # ---- 6: splitting
 
 @pytest.mark.parametrize("text", ["a" * 20000, "```" + "x y " * 5000, ("abc " * 3000) + "```\n" + "z" * 9000 + "\n```", "w. " * 4000, "\n" * 20000, "```a``` " * 2000, "雲端。" * 4000, "# h\n" + "\n\n".join(f"## part {i}\n" + "some words here. " * 40 for i in range(30)), "\r\n".join("line of text" for _ in range(900))])
