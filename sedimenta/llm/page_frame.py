@@ -11,12 +11,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import bounded, staged
 
 #: Pages of a host that are aligned in one task, and neighbours each is aligned with.
 BUCKET, NEIGHBOURS = 64, 4
-#: A line is constant on a host if so many of its pages align it.
-LEAST_ALIGNED = 3
+#: A node is constant on a host if so large a share of its pages aligns it, and so many pages on small hosts.
+LEAST_ALIGNED_SHARE, LEAST_ALIGNED = 0.005, 3
 
 # Words and openings by which page furniture and notes are known.
 NOTE = re.compile(r"(note|tip|hint|warning|important|caution|danger|attention|info|example)s?\s*[:!]", re.I)
@@ -58,6 +58,10 @@ def label(clean: str) -> str:
     return _DIGITS.sub("0", _BULLET.sub("", clean).lower())
 
 
+def node_of(kind: str, top: bool, text: str) -> str:
+    return f"{kind}\n{top:d}\n{text}"
+
+
 class Tree:
     """A page as a tree of two levels: groups (heading, list, code, text) and their lines."""
 
@@ -92,6 +96,11 @@ class Tree:
         if fenced:  # a fence that stays open: what follows the next blank line is read as if it had closed there
             self._reopen()
         self.labels = [label(x) if k else "" for x, k in zip(self.clean, self.kind)]
+        self.first = next((i for i, k in enumerate(self.kind) if k == "heading"), len(self.lines))
+
+    def node(self, i: int) -> str:
+        """A line as a node of the template: its kind, whether it stands above the first heading, and its label."""
+        return node_of(self.kind[i], i < self.first, self.labels[i])
 
     def _reopen(self) -> None:
         open_at = max(i for i, x in enumerate(self.clean) if x.startswith("```"))
@@ -110,9 +119,14 @@ class Tree:
 
 
 def align(x: Tree, y: Tree) -> set[str]:
-    """Labels of the nodes that a simple tree matching of two pages pairs: groups of one kind in order, equal lines in order within."""
-    gx = [(k, [x.labels[i] for i in at]) for k, at in x.groups]
-    gy = [(k, [y.labels[i] for i in at]) for k, at in y.groups]
+    """Labels of the nodes that a simple tree matching of two pages pairs."""
+    return {n.split("\n", 2)[2] for n in align_nodes(x, y)}
+
+
+def align_nodes(x: Tree, y: Tree) -> set[str]:
+    """Nodes that a simple tree matching of two pages pairs: groups of one kind and place in order, equal lines in order within."""
+    gx = [((k, at[0] < x.first), [x.node(i) for i in at]) for k, at in x.groups]
+    gy = [((k, at[0] < y.first), [y.node(i) for i in at]) for k, at in y.groups]
     sx, sy = [set(v) for _, v in gx], [set(v) for _, v in gy]
     m, n = len(gx), len(gy)
     best = [[0] * (n + 1) for _ in range(m + 1)]
@@ -156,15 +170,19 @@ def _key(text: str) -> int:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """Constant nodes of each host: host, node (hash of a label), aligned (pages on which it was matched).
+    """Constant nodes of each host: host, node (hash of kind, place and label), aligned (pages on which it was matched).
 
     All pages take part.  Those of a host are dealt by hash to buckets of about
     BUCKET pages, so that no task gets a host whole; within a bucket each page is
-    aligned with its next neighbours.  Matches are then counted over the host.
+    aligned with its next neighbours.  Matches are then counted over the host, of
+    whose pages LEAST_ALIGNED_SHARE have to agree, so that a template is as strict
+    on a host of any size.
     """
     hosted = pages.filter("content is not null and page_id is not null").withColumn("host", F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")))
-    sizes = hosted.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET)).alias("buckets"))
-    dealt = hosted.join(F.broadcast(sizes) if sizes.count() < 100_000 else sizes, "host").select("host", F.pmod(F.xxhash64("page_id"), F.col("buckets")).alias("bucket"), "page_id", "content")
+    sizes = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    sizes = staged(sizes.select("host", F.ceil(F.col("n") / F.lit(BUCKET)).alias("buckets"), F.greatest(F.lit(LEAST_ALIGNED), F.ceil(F.col("n") * F.lit(LEAST_ALIGNED_SHARE) - F.lit(1e-9))).alias("need")), "host-sizes")
+    sizes = bounded(sizes)
+    dealt = hosted.join(sizes, "host").select("host", F.pmod(F.xxhash64("page_id"), F.col("buckets")).alias("bucket"), "page_id", "content")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         trees = [Tree(c) for c in pdf.sort_values("page_id")["content"]]
@@ -172,7 +190,7 @@ def induce(pages: DataFrame) -> DataFrame:
         for i in range(len(trees)):
             for d in range(1, min(NEIGHBOURS, len(trees) - 1) + 1):
                 j = (i + d) % len(trees)
-                common = align(trees[i], trees[j])
+                common = align_nodes(trees[i], trees[j])
                 hit[i] |= common
                 hit[j] |= common
         count: dict[str, int] = {}
@@ -182,7 +200,7 @@ def induce(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": pdf["host"].iloc[0], "node": [_key(x) for x in count], "aligned": list(count.values())}, columns=["host", "node", "aligned"])
 
     votes = dealt.groupBy("host", "bucket").applyInPandas(match, "host string, node bigint, aligned bigint")
-    return votes.groupBy("host", "node").agg(F.sum("aligned").alias("aligned")).filter(F.col("aligned") >= LEAST_ALIGNED)
+    return votes.groupBy("host", "node").agg(F.sum("aligned").alias("aligned")).join(sizes, "host").filter("aligned >= need").select("host", "node", "aligned")
 
 
 def frame_lines(tree: Tree, constant: set[int], site: str, trail: list[str], title: str) -> list[bool]:
@@ -240,7 +258,7 @@ def frame_lines(tree: Tree, constant: set[int], site: str, trail: list[str], tit
             out[i] = True
         elif tree_constant(tree, i, constant) and words(i) <= 5 and not s.endswith((".", ";", "!")) and not re.search(r"[0-9]", s):
             out[i], follow = True, ""  # menu entries
-        elif s.count(" | ") >= 3 and all(len(_WORD.findall(p)) <= 4 for p in s.split(" | ")) and (tree_constant(tree, i, constant) or all(_key(label(p.strip())) in constant for p in s.split(" | "))):
+        elif s.count(" | ") >= 3 and all(len(_WORD.findall(p)) <= 4 for p in s.split(" | ")) and (tree_constant(tree, i, constant) or all(_entry(p, constant) for p in s.split(" | "))):
             out[i], follow = True, ""
         elif name and name in t and tree_constant(tree, i, constant):
             out[i], follow = True, ""
@@ -260,7 +278,12 @@ def low_heading(line: str) -> str:
 
 
 def tree_constant(tree: Tree, i: int, constant: set[int]) -> bool:
-    return _key(tree.labels[i]) in constant
+    return _key(tree.node(i)) in constant
+
+
+def _entry(part: str, constant: set[int]) -> bool:
+    """Whether a part of a menu bar is a constant node of its own, as line or list entry, anywhere."""
+    return any(_key(node_of(k, top, label(part.strip()))) in constant for k in ("list", "text") for top in (True, False))
 
 
 def frame_of_pages(pages: DataFrame) -> DataFrame:

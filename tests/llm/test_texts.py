@@ -80,6 +80,15 @@ def test_page_frames(spark):
     assert P.frame_of_pages(df.limit(0)).count() == 0
 
 
+def test_template_is_a_share_of_the_host_by_kind_and_place(spark):
+    ids = spark.range(1000).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(16)))  # 16 buckets of a host of 1,000 pages
+    few = {r.id for r in ids.filter("b = 0").orderBy("id").limit(4).collect()}  # neighbours, which align one another
+    texts = [f"* Home\n* Guides\n# Page {i}\n\nBody of {i} about volumes and hosts.\n\n" + ("- paujeitre config loader" if i in few else "- Guides" if i == 999 else "") for i in range(1000)]
+    df = spark.createDataFrame([(i, f"https://a.example/{i}", f"Page {i}", None, t) for i, t in enumerate(texts)], "page_id bigint, url string, title string, breadcrumb array<string>, content string")
+    got = {(r.page_id, r.line_no) for r in P.frame_of_pages(df).filter("frame").collect()}
+    assert got == {(i, n) for i in range(1000) for n in (0, 1)}
+
+
 def test_tree_matching_keeps_order():
     x, y = P.Tree("a line one\nb line two\n\n- c\n- d"), P.Tree("b line two\n\n- c\n- e")
     assert P.align(x, y) == {"b line two", "c"}
