@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -17,8 +17,10 @@ from ..plans.staging import bounded, staged
 BUCKET, NEIGHBOURS = 64, 4
 #: A node is constant on a host if so large a share of its pages aligns it, and so many pages on small hosts.
 LEAST_ALIGNED_SHARE, LEAST_ALIGNED = 0.005, 3
+#: On hosts with fewer pages that share is less than one page: the template can't speak against a cue.
+LEAST_HOST = int(1 / LEAST_ALIGNED_SHARE)
 
-# Words and openings by which page furniture and notes are known.
+# Words and openings by which page furniture and notes are known, once the template has the line or a slot for it.
 NOTE = re.compile(r"(note|tip|hint|warning|important|caution|danger|attention|info|example)s?\s*[:!]", re.I)
 OUTLINE_TITLES = {"contents", "on this page", "in this article", "page outline", "table of contents", "outline", "in this section", "in this guide", "jump to"}
 RELATED_TITLES = {"see also", "related topics", "readers also viewed", "related articles", "related pages", "related", "you may also like", "further reading", "read next", "popular articles", "recommended"}
@@ -26,14 +28,17 @@ RELATED_OPENING = re.compile(r"(more|also|popular|latest|news)\s+(from|on|in|at)
 ADVERT_TITLES = {"advertisement", "advert", "sponsored", "promotion", "promoted", "ad"}
 MENU_TITLES = {"menu", "toggle navigation", "navigation", "skip to main content", "skip to content", "skip navigation", "main menu", "back to top", "search", "close"}
 CUES = re.compile(
-    r"\b(cookies?|privacy (policy|matters)|your privacy|adverts?|advertisement|tracking|stores small files|set cookies|accept all|reject|manage preferences"
-    r"|newsletter|subscribe|sign up|sign in|log in|courses start|get certified|free hours|order today|tip of the week|readers in the|join \d+"
-    r"|print this|save as pdf|copy link|share this|rate this|was this (page|article)|helpful\?|found a mistake|suggest a change|edit this page|report (a|an) (problem|issue)|send feedback"
-    r"|last updated|last modified|last reviewed|updated on|reviewed \d|written by|built with|docs (team|crew)|editorial desk|served by|page id|revision|generated (by|on|at)|build \d"
-    r"|copyright|all rights reserved|legal notice|terms of use|imprint|sitemap|accessibility|mark of its owners|trademarks?|without warranty|may be reused|written permit"
-    r"|back to top|skip to|you are here|jump to|toggle navigation|menu)\b|[©®]",
+    r"\b(?:(?P<consent>cookies?|privacy (policy|matters)|your privacy|adverts?|advertisement|tracking|stores small files|set cookies|accept all|reject|manage preferences"
+    r")|(?P<promotion>newsletter|subscribe|sign up|sign in|log in|courses start|get certified|free hours|order today|tip of the week|readers in the|join \d+"
+    r")|(?P<feedback>print this|save as pdf|copy link|share this|rate this|was this (page|article)|helpful\?|found a mistake|suggest a change|edit this page|report (a|an) (problem|issue)|send feedback"
+    r")|(?P<stamp>last updated|last modified|last reviewed|updated on|reviewed \d|written by|built with|docs (team|crew)|editorial desk|served by|page id|revision|generated (by|on|at)|build \d"
+    r")|(?P<legal>copyright|all rights reserved|legal notice|terms of use|imprint|sitemap|accessibility|mark of its owners|trademarks?|without warranty|may be reused|written permit"
+    r")|(?P<menu>back to top|skip to|you are here|jump to|toggle navigation|menu))\b|[©®]",
     re.I,
 )
+TITLES = {"outline": OUTLINE_TITLES, "related": RELATED_TITLES, "advert": ADVERT_TITLES, "menu": MENU_TITLES}
+#: What sets a slot apart from a label; no line of text holds it.
+SLOT = "\0"
 _BULLET = re.compile(r"^(?:[*•·▪‣–—>»-]|\d+[.)])\s+")
 _BLANKS = re.compile(r"[ \t\u00a0]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -58,6 +63,27 @@ def label(clean: str) -> str:
     return _DIGITS.sub("0", _BULLET.sub("", clean).lower())
 
 
+@lru_cache(maxsize=200_000)
+def slots_of(clean: str) -> frozenset[str]:
+    """Kinds of furniture that a tidy line may be, by its words: what pages share where the rest of the line varies."""
+    s = _BULLET.sub("", clean)
+    t = s.lower().rstrip(":")
+    out = {f"title {name}" for name, titles in TITLES.items() if t in titles}
+    if RELATED_OPENING.match(t) and len(_WORD.findall(s)) <= 5:
+        out.add("title related")
+    if arrowed(s, t):
+        out.add("arrow")
+    if s.count(" ") < 30:
+        out |= {"cue " + (m.lastgroup or "legal") for m in CUES.finditer(s)}
+        if _STAMP.match(s):
+            out.add("cue stamp")
+    return frozenset(out)
+
+
+def arrowed(s: str, low: str) -> bool:
+    return s.startswith(("←", "‹", "<-", "«")) or s.endswith(("→", "›", "->")) or bool(re.match(r"(previous|prev|next)\s*[:|]", low))
+
+
 def node_of(kind: str, top: bool, text: str) -> str:
     return f"{kind}\n{top:d}\n{text}"
 
@@ -102,6 +128,19 @@ class Tree:
         """A line as a node of the template: its kind, whether it stands above the first heading, and its label."""
         return node_of(self.kind[i], i < self.first, self.labels[i])
 
+    @cached_property
+    def parts(self) -> list[tuple[tuple[str, bool], list[str], set[str], set[str]]]:
+        """Groups as they are aligned: (kind, place), nodes in order, their set, the slots of their lines."""
+        out = []
+        for k, at in self.groups:
+            nodes = [self.node(i) for i in at]
+            out.append(((k, at[0] < self.first), nodes, set(nodes), {z for i in at for z in self.slots(i)}))
+        return out
+
+    def slots(self, i: int) -> list[str]:
+        """The slots of the template that a line may fill, as nodes of their own."""
+        return [node_of(self.kind[i], i < self.first, SLOT + x) for x in slots_of(self.clean[i])] if self.kind[i] in ("list", "text") else []
+
     def _reopen(self) -> None:
         open_at = max(i for i, x in enumerate(self.clean) if x.startswith("```"))
         end = next((i for i in range(open_at + 1, len(self.clean)) if not self.clean[i]), len(self.clean))
@@ -120,14 +159,12 @@ class Tree:
 
 def align(x: Tree, y: Tree) -> set[str]:
     """Labels of the nodes that a simple tree matching of two pages pairs."""
-    return {n.split("\n", 2)[2] for n in align_nodes(x, y)}
+    return {t for t in (n.split("\n", 2)[2] for n in align_nodes(x, y)) if not t.startswith(SLOT)}
 
 
 def align_nodes(x: Tree, y: Tree) -> set[str]:
-    """Nodes that a simple tree matching of two pages pairs: groups of one kind and place in order, equal lines in order within."""
-    gx = [((k, at[0] < x.first), [x.node(i) for i in at]) for k, at in x.groups]
-    gy = [((k, at[0] < y.first), [y.node(i) for i in at]) for k, at in y.groups]
-    sx, sy = [set(v) for _, v in gx], [set(v) for _, v in gy]
+    """Nodes that a simple tree matching of two pages pairs: groups of one kind and place in order, equal lines in order within, and slots that both groups have."""
+    gx, gy = x.parts, y.parts
     m, n = len(gx), len(gy)
     best = [[0] * (n + 1) for _ in range(m + 1)]
     weight: dict[tuple[int, int], int] = {}
@@ -136,7 +173,8 @@ def align_nodes(x: Tree, y: Tree) -> set[str]:
         for j in range(n):
             w = 0
             if gx[i][0] == gy[j][0]:
-                w = 1 + (_ordered(gx[i][1], gy[j][1]) if len(sx[i] & sy[j]) > 1 else len(sx[i] & sy[j]))
+                same = len(gx[i][2] & gy[j][2])
+                w = 1 + (_ordered(gx[i][1], gy[j][1]) if same > 1 else same)
                 weight[i, j] = w
             row[j + 1] = max(above[j + 1], row[j], above[j] + w)
     out: set[str] = set()
@@ -144,7 +182,7 @@ def align_nodes(x: Tree, y: Tree) -> set[str]:
     while i and j:
         w = weight.get((i - 1, j - 1), 0)
         if w and best[i][j] == best[i - 1][j - 1] + w:
-            out |= sx[i - 1] & sy[j - 1]
+            out |= gx[i - 1][2] & gy[j - 1][2] | gx[i - 1][3] & gy[j - 1][3]
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
@@ -203,8 +241,13 @@ def induce(pages: DataFrame) -> DataFrame:
     return votes.groupBy("host", "node").agg(F.sum("aligned").alias("aligned")).join(sizes, "host").filter("aligned >= need").select("host", "node", "aligned")
 
 
-def frame_lines(tree: Tree, constant: set[int], site: str, trail: list[str], title: str) -> list[bool]:
-    """For each line whether it belongs to the frame: constant nodes that aren't part of the text, and the slots that hang on them."""
+def frame_lines(tree: Tree, constant: set[int], site: str, trail: list[str], title: str, alone: bool = False) -> list[bool]:
+    """For each line whether it belongs to the frame: constant nodes that aren't part of the text, and the slots that hang on them.
+
+    Titles, arrows, stamps and cue words only tell what a node is that the
+    template has, as a constant line or as a slot; with ``alone``, on hosts too
+    small for a template, they decide by themselves.
+    """
     n = len(tree.lines)
     out = [False] * n
     bare = [_BULLET.sub("", x) for x in tree.clean]
@@ -219,6 +262,9 @@ def frame_lines(tree: Tree, constant: set[int], site: str, trail: list[str], tit
     def is_title(i: int, titles: set[str]) -> bool:
         return low[i] in titles
 
+    def known(i: int) -> bool:
+        return alone or tree_constant(tree, i, constant) or any(_key(z) in constant for z in tree.slots(i))
+
     follow = ""
     slots = 0
     for i in range(n):
@@ -230,23 +276,23 @@ def frame_lines(tree: Tree, constant: set[int], site: str, trail: list[str], tit
             continue
         t = low[i]
         note = bool(NOTE.match(s)) and not (name and t.startswith(name))
-        arrows = s.startswith(("←", "‹", "<-", "«")) or s.endswith(("→", "›", "->")) or bool(re.match(r"(previous|prev|next)\s*[:|]", t))
+        arrows = arrowed(s, t)
         parts = [p.lower() for p in _TRAIL.split(_HERE.sub("", s)) if p] if len(s) < 400 else []
         if note:
             follow = ""
-        elif is_title(i, OUTLINE_TITLES):
+        elif is_title(i, OUTLINE_TITLES) and known(i):
             out[i], follow = True, "outline"
-        elif is_title(i, RELATED_TITLES) or (RELATED_OPENING.match(t) and words(i) <= 5 and (not name or name in t)):
+        elif (is_title(i, RELATED_TITLES) or (RELATED_OPENING.match(t) and words(i) <= 5 and (not name or name in t))) and known(i):
             out[i], follow, slots = True, "related", 0
-        elif is_title(i, ADVERT_TITLES):
+        elif is_title(i, ADVERT_TITLES) and known(i):
             out[i], follow, slots = True, "advert", 0
-        elif is_title(i, MENU_TITLES):
+        elif is_title(i, MENU_TITLES) and known(i):
             out[i], follow = True, ""
-        elif arrows or t.startswith("you are here"):
+        elif (arrows or t.startswith("you are here")) and known(i):
             out[i], follow = True, ""
         elif len(parts) > 1 and (len(crumbs) > 1 and set(parts) <= set(crumbs) | {name} or parts[-1] == title.lower() and (not name or parts[0] == name)):
             out[i], follow = True, ""
-        elif s.count(" ") < 30 and (_STAMP.match(s) or cued(s) and words(i) <= 24):
+        elif s.count(" ") < 30 and (_STAMP.match(s) or cued(s) and words(i) <= 24) and known(i):
             out[i], follow = True, ""
         elif re.sub(r"^jump to\s+", "", t) in heads and (follow == "outline" or t not in heads or kind != "list"):
             out[i] = True
@@ -291,7 +337,8 @@ def frame_of_pages(pages: DataFrame) -> DataFrame:
 
     Method: wrapper induction.  Each page is read as a tree of groups and lines;
     pages of a host are aligned by simple tree matching; nodes that stay constant
-    are the template.  A line is frame if it is a constant node outside headings,
+    are the template, among them slots, whose lines vary but for words of page
+    furniture.  A line is frame if it is a constant node outside headings,
     code, tables and notes, or fills a slot that hangs on the template: the trail
     (compared with breadcrumb), entries of contents and related lists, adverts,
     neighbour links, dates and stamps.  The rest, the varying slots, is content.
@@ -303,12 +350,13 @@ def frame_of_pages(pages: DataFrame) -> DataFrame:
     per_host = template.groupBy("host").agg(F.collect_list("node").alias("nodes"))
     hosted = pages.filter("content is not null and page_id is not null").select(F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")).alias("host"), F.col("page_id").cast("bigint").alias("page_id"), "title", "breadcrumb", "content")
     first = hosted.filter(F.size("breadcrumb") > 0).groupBy("host", F.col("breadcrumb")[0].alias("site")).agg(F.count(F.lit(1)).alias("n"))
-    facts = per_host.join(first.groupBy("host").agg(F.max_by("site", F.struct("n", "site")).alias("site")), "host", "full")
+    counts = hosted.groupBy("host").agg((F.count(F.lit(1)) < LEAST_HOST).alias("alone"))
+    facts = counts.join(per_host, "host", "left").join(first.groupBy("host").agg(F.max_by("site", F.struct("n", "site")).alias("site")), "host", "left")
     facts = staged(facts, "host-facts")
     small = template.count() <= 1_000_000 and facts.count() <= 100_000
     if small:  # the whole template is sent; beyond that each page gets its host's part by a join
-        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: (set(r["nodes"] or []), r["site"] or "") for r in facts.toLocalIterator()})
-        hosted = hosted.withColumns({"nodes": F.lit(None).cast("array<bigint>"), "site": F.lit(None).cast("string")})
+        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: (set(r["nodes"] or []), r["site"] or "", r["alone"]) for r in facts.toLocalIterator()})
+        hosted = hosted.withColumns({"nodes": F.lit(None).cast("array<bigint>"), "site": F.lit(None).cast("string"), "alone": F.lit(None).cast("boolean")})
     else:
         sent = None
         hosted = hosted.join(facts, "host", "left")
@@ -316,24 +364,24 @@ def frame_of_pages(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, nos, flags = [], [], []
-            for host, page, title, crumbs, content, nodes, site in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                known, site = sent.value.get(host, (set(), "")) if sent else (set(nodes or []), site or "")
-                for i, f in enumerate(judge(content, known, site, crumbs, title)):
+            for host, page, title, crumbs, content, nodes, site, alone in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                known, site, alone = sent.value[host] if sent else (set(nodes or []), site or "", alone)
+                for i, f in enumerate(judge(content, known, site, crumbs, title, alone)):
                     if f is not None:
                         ids.append(page)
                         nos.append(i)
                         flags.append(f)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(flags, pa.bool_())], names=["page_id", "line_no", "frame"])
 
-    return hosted.select("host", "page_id", "title", "breadcrumb", "content", "nodes", "site").mapInArrow(run, "page_id bigint, line_no int, frame boolean")
+    return hosted.select("host", "page_id", "title", "breadcrumb", "content", "nodes", "site", "alone").mapInArrow(run, "page_id bigint, line_no int, frame boolean")
 
 
-def judge(content: str, constant: set[int], site: str, crumbs: list[str] | None, title: str | None) -> list[bool | None]:
+def judge(content: str, constant: set[int], site: str, crumbs: list[str] | None, title: str | None, alone: bool = False) -> list[bool | None]:
     """For each line whether it is frame; None for blank lines."""
     tree = Tree(content)
     trail = [c for c in crumbs or [] if c]
     own = title or (trail[-1] if trail else "") or next((low_heading(x) for x, k in zip(tree.lines, tree.kind) if k == "heading"), "")
-    flags = frame_lines(tree, constant, site or (trail[0] if trail else ""), trail, own)
+    flags = frame_lines(tree, constant, site or (trail[0] if trail else ""), trail, own, alone)
     return [f if x else None for f, x in zip(flags, tree.clean)]
 
 

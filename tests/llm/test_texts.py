@@ -89,6 +89,14 @@ def test_template_is_a_share_of_the_host_by_kind_and_place(spark):
     assert got == {(i, n) for i in range(1000) for n in (0, 1)}
 
 
+def test_cues_need_a_place_in_the_template(spark):
+    odd = {7: "The privacy policy of volumes is set here", 8: "Advertisement", 9: "Next: the hosts of the pool"}
+    texts = [f"# Page {i}\n\n{odd.get(i, f'Body of {i} about volumes')}\n\n```\nrun\n```\nBuild AB-{i}, served by host{chr(97 + i % 26)}{chr(97 + i // 26)}\nLegal notice" for i in range(260)]
+    df = spark.createDataFrame([(i, f"https://a.example/{i}", f"Page {i}", None, t) for i, t in enumerate(texts)], "page_id bigint, url string, title string, breadcrumb array<string>, content string")
+    got = {(r.page_id, r.line_no) for r in P.frame_of_pages(df).filter("frame").collect()}
+    assert got == {(i, n) for i in range(260) for n in (7, 8)}
+
+
 def test_tree_matching_keeps_order():
     x, y = P.Tree("a line one\nb line two\n\n- c\n- d"), P.Tree("b line two\n\n- c\n- e")
     assert P.align(x, y) == {"b line two", "c"}
