@@ -166,7 +166,7 @@ def votes(instruction: str | None, output: str | None) -> tuple[list[list[int]],
     # copied
     copied = [NO] * 5
     a = b = c = ""
-    if instruction and not config and n < 400:
+    if instruction and not config:
         a, b, c = compact(instruction), compact(bare), compact(inner)
     if len(a) >= 8:
         k = max(1, round(len(c) / max(1, len(a))))
@@ -178,17 +178,18 @@ def votes(instruction: str | None, output: str | None) -> tuple[list[list[int]],
     is_copy = sum(v == YES for v in copied) >= 2
     # refusal
     opens = phrase = after = False
-    short = n <= 60
-    if short and not config and not is_copy:
+    if not config and not is_copy:
         plain = bare.replace("’", "'").replace("`", "'")
         opens, phrase, after = bool(OPENINGS.match(plain)), bool(PHRASES.search(plain)), bool(AFTERWORDS.search(plain))
+    # length is a vote of its own: a single cue in a long text, also beside the instruction, speaks of something else
+    long = n > max(60, 2 * len(_ALNUM.findall(instruction or ""))) or after and n > 40
+    stray = long and opens + phrase + after == 1
     if config or is_copy:
         refusal = [NO] * 4
     else:
-        after = after and n <= 40
-        any_cue = opens or phrase or after
-        refusal = [YES if opens else NONE if any_cue else NO, YES if phrase else NONE if after else NO, YES if after else NONE, YES if (opens + phrase + after) >= 2 or after else NONE if any_cue else NO]
-    is_refusal = not config and not is_copy and (phrase or after)
+        any_cue = (opens or phrase or after) and not stray
+        refusal = [YES if opens else NONE if any_cue else NO, YES if phrase else NONE if after and not stray else NO, YES if after else NO if stray else NONE, NO if stray else YES if (opens + phrase + after) >= 2 or after else NONE if any_cue else NO]
+    is_refusal = not config and not is_copy and (phrase or after) and not stray
     # another language
     wrong = [NO] * 3
     if not is_copy and instruction:

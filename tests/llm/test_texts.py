@@ -42,6 +42,21 @@ def test_defects(spark):
     assert all(len(r.defects) >= 1 for r in labels)
 
 
+def test_defects_of_long_texts(spark):
+    prose = "The team moved the volumes of the cluster before the review and keeps the quota for the users. " * 6
+    cases = [
+        ("I'm sorry, but I cannot help with this request. " + prose + "I hope you understand. Is there anything else?", "refusal"),
+        ("\n".join([ASK] * 40), "copied"),
+        (f"{ASK} {ASK} " * 14, "copied"),
+        (prose + "Other teams are not allowed to move them. " + prose.strip(), None),
+    ]
+    assert len(cases[0][0].split()) > 60 and len(cases[1][0].split()) > 400 and len(cases[2][0].split()) > 400
+    rows = [(i, ASK, o) for i, (o, _) in enumerate(cases)] + [(100 + i, ASK, o) for i, (o, _) in enumerate(CASES)] + [(200 + i, f"{ASK} case {i}", CONFIG.replace("web", f"w{i}")) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id bigint, instruction string, output string")
+    got = {r.row_id: r.defect for r in D.single_defects(D.defect_posteriors(df)).collect()}
+    assert {k: v for k, v in got.items() if k < 100} == {i: d for i, (_, d) in enumerate(cases) if d}
+
+
 def test_label_model_finds_accuracies():
     import numpy as np
 
