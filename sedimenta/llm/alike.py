@@ -8,7 +8,8 @@ of exact copies, however large, is one class.
 
 ``scan``      one pass: signature of each row, and a count sketch of the triples
 ``postings``  second pass: each class's rarest triples (the prefix that any alike
-              pair must share one of), with length, position and parity bits
+              pair must share one of), with length, position and parity bits of
+              what follows them
 ``verify``    exact Jaccard of candidate pairs, each once
 """
 
@@ -18,20 +19,17 @@ from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..plans.staging import staged
+from ..plans.staging import bounded, staged
 from .kernel import Words, bounds, distinct, mix, pack, paragraphs, slices, triples, unpack
-from .sketch import GRAM_BITS, SLOT_BITS, FLAG_A, FLAG_B, LEVEL, Shared, SketchWriter, keep_ids, merge_sketch
+from .sketch import FLAG_A, FLAG_B, LEVEL, Shared, SketchWriter, cell_of, keep_ids, level, merge_sketch, sketch_bits
 
 THRESHOLD = 0.7
-#: Rows of one key that a window looks back on; longer runs go through block pairs.
+#: Rows of one key that one task looks at together; longer runs go through block pairs.
 RUN = 256
-#: Sketch level (about 20 occurrences) from which a line is no longer evidence; alike rows also meet in triples.
-LINE_LEVEL = 12
 
 
 def pair_text(instruction: str = "instruction", output: str = "output") -> Column:
@@ -49,14 +47,15 @@ def signature(text: np.ndarray, gram: np.ndarray, n_texts: int) -> tuple[np.ndar
 SCAN = "row_id bigint, sig bigint, n int, side int, part int, data binary"
 
 
-def scan(rows: DataFrame, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """rows(row_id, text, side): staged frames of signatures (row_id, sig, n, side) and of sketch records.
+def scan(rows: DataFrame, lines: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """rows(row_id, text, side): staged frames of signatures (row_id, sig, n, side) and of sketch records, and the sketch's bits.
 
     With ``lines`` the sketch also counts the hashes of whole lines.
     """
+    bits = sketch_bits(rows.agg(F.sum(F.length("text"))).first()[0] or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writers = {0: SketchWriter(), 1: SketchWriter()}
+        writers = {0: SketchWriter(bits), 1: SketchWriter(bits)}
 
         def sketches(side: int, records: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
             if records:
@@ -87,13 +86,13 @@ def scan(rows: DataFrame, lines: bool = False) -> tuple[DataFrame, DataFrame]:
                     own = (once & (sides[a:b] == s))[text]
                     yield from sketches(s, writers[s].add(gram[own]))
                 if lines:
-                    at, line = distinct(*paragraphs(w))
+                    at, line = distinct(*paragraphs(w)[:2])
                     yield from sketches(0, writers[0].add(line[once[at]]))
         for s in (0, 1):
             yield from sketches(s, writers[s].flush())
 
     out = staged(rows.select("row_id", "text", "side").mapInArrow(run, SCAN), "scan")
-    return out.filter("part is null").select("row_id", "sig", "n", "side"), out.filter("part is not null").select("part", "data", "side")
+    return out.filter("part is null").select("row_id", "sig", "n", "side"), out.filter("part is not null").select("part", "data", "side"), bits
 
 
 def prefix_length(n: np.ndarray, t: Fraction) -> np.ndarray:
@@ -101,73 +100,80 @@ def prefix_length(n: np.ndarray, t: Fraction) -> np.ndarray:
     return np.where(n > 0, n - (-(-n * t.numerator // t.denominator)) + 1, 0)
 
 
-def parity(text: np.ndarray, gram: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 parity bits of each set: differing bits of two sets never exceed the size of their symmetric difference."""
-    bit = (mix(gram * np.uint64(0x2545F4914F6CDD1D)) & np.uint64(127)).astype(np.int64)
-    odd = (np.bincount(text * 128 + bit, minlength=n_texts * 128) & 1).astype(np.uint8).reshape(n_texts, 128)
-    words = np.packbits(odd, axis=1, bitorder="little").view("<i8")
-    return words[:, 0].copy(), words[:, 1].copy()
+def suffix_parity(gram: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For grams in set order, 128 parity bits of those that follow in the same set (last: index of the set's last gram).
+
+    The bits in which two suffixes differ never exceed the size of their symmetric difference.
+    """
+    bit = mix(gram * np.uint64(0x2545F4914F6CDD1D)) & np.uint64(127)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    out = []
+    for half in (bit < 64, bit >= 64):
+        run = np.bitwise_xor.accumulate(np.where(half, one, np.uint64(0)))
+        out.append((run[last] ^ run).view(np.int64))
+    return out[0], out[1]
 
 
-POSTING = "gram bigint, sig bigint, side int, n int, pos int, p0 bigint, p1 bigint"
+class Prefixes:
+    """Of a slice of texts the classes that are new to the task, and their rarest triples.
 
+    Order of triples: rare first by the sketch's level, then by hash.  ``text``,
+    ``gram``, ``cell``, ``pos``, ``p0``, ``p1`` have an entry per class and triple
+    of its prefix, ``all_text`` and ``all_gram`` one per class and triple.
+    """
 
-def postings(rows: DataFrame, cells: np.ndarray, threshold: float = THRESHOLD, crossing: bool = False, lines: int = 0, single: bool = False, extra: Callable | None = None, extra_schema: str = "") -> DataFrame:
+    def __init__(self, texts: list[str], cells: np.ndarray, t: Fraction, seen: set, sides: np.ndarray | None = None):
+        self.words = w = Words(texts)
+        self.first, self.raw = triples(w)
+        text, gram = distinct(w.text[self.first], self.raw)
+        self.sig, self.n = signature(text, gram, len(texts))
+        keys = zip(self.sig.tolist(), (np.zeros(len(texts), dtype=int) if sides is None else sides).tolist())
+        self.fresh = np.array([k not in seen and not seen.add(k) for k in keys], dtype=bool) & (self.n > 0)
+        keep = self.fresh[text]
+        self.all_text, self.all_gram = text[keep], gram[keep]
+        cell = cell_of(cells, self.all_gram)
+        key = (self.all_text.astype(np.uint64) << np.uint64(46)) | ((cell & LEVEL).astype(np.uint64) << np.uint64(40)) | self.all_gram
+        order = np.argsort(key)
+        text, gram, cell = self.all_text[order], self.all_gram[order], cell[order]
+        at = bounds(text, len(texts))
+        pos = np.arange(len(text)) - at[text]
+        p0, p1 = suffix_parity(gram, at[text + 1] - 1) if len(text) else (pos, pos)
+        inside = pos < prefix_length(self.n, t)[text]
+        self.text, self.gram, self.cell, self.pos, self.p0, self.p1 = (x[inside] for x in (text, gram, cell, pos, p0, p1))
+
+
+#: Highest sketch level at which a triple surely has no more than about RUN classes.
+COLD = int(level(np.array([RUN]))[0])
+POSTING = "gram bigint, sig bigint, side int, n int, pos int, p0 bigint, p1 bigint, hot boolean"
+
+
+def postings(rows: DataFrame, cells: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """A row per class (in each task) and prefix triple that may occur elsewhere.
 
-    Order of triples: rare first by the sketch's level, then by hash.  Triples
-    that the sketch knows to be single (with ``crossing``: to occur on one side
-    only) can't lead to a partner and are left out after the prefix is cut.
+    Triples that the sketch knows to be single can't lead to a partner and are
+    left out after the prefix is cut.  ``hot``: more than RUN classes may have it.
     """
     t = Fraction(str(threshold))
     shared = Shared(rows.sparkSession, cells)
-    names = [f.split()[0] for f in (POSTING + extra_schema).split(", ")]
+    names = [f.split()[0] for f in POSTING.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sk = shared.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            sides = batch.column(2).to_numpy(zero_copy_only=False)
+            sides = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b in slices(texts):
-                w = Words(texts[a:b])
-                first, raw = triples(w)
-                text, gram = distinct(w.text[first], raw)
-                sig, n = signature(text, gram, b - a)
-                side = sides[a:b].astype(np.int64)
-                fresh = np.array([(s, d) not in seen and not seen.add((s, d)) for s, d in zip(sig.tolist(), side.tolist())], dtype=bool) & (n > 0)
-                keep = fresh[text]
-                text, gram = text[keep], gram[keep]
-                if not len(text):
+                p = Prefixes(texts[a:b], sk, t, seen, sides[a:b])
+                lev = p.cell & LEVEL
+                ok = lev > 1
+                if not ok.any():
                     continue
-                cell = sk[(gram >> np.uint64(GRAM_BITS - SLOT_BITS)).astype(np.int64)]
-                p0, p1 = parity(text, gram, b - a)
-                key = (text.astype(np.uint64) << np.uint64(46)) | ((cell & LEVEL).astype(np.uint64) << np.uint64(40)) | gram
-                order = np.argsort(key)
-                text, gram, cell = text[order], gram[order], cell[order]
-                pos = np.arange(len(text)) - bounds(text, b - a)[text]
-                ok = (pos < prefix_length(n, t)[text]) & ((cell & (FLAG_A | FLAG_B)) == (FLAG_A | FLAG_B) if crossing else single | ((cell & LEVEL) > 1))
-                text, gram, pos = text[ok], gram[ok], pos[ok]
-                if lines:
-                    at, line = distinct(*paragraphs(w))
-                    own = fresh[at]
-                    at, line = at[own], line[own]
-                    lev = sk[(line >> np.uint64(GRAM_BITS - SLOT_BITS)).astype(np.int64)] & LEVEL
-                    rare = (lev > 1) & (lev < LINE_LEVEL)
-                    at, line, lev = at[rare], line[rare], lev[rare]
-                    order = np.lexsort((line, lev, at))
-                    at, line = at[order], line[order]
-                    few = np.arange(len(at)) - bounds(at, b - a)[at] < lines
-                    at, line = at[few], line[few] | np.uint64(1 << 41)
-                    text, gram, pos = np.concatenate([text, at]), np.concatenate([gram, line]), np.concatenate([pos, np.full(len(at), -1)])
-                if not len(text):
-                    continue
-                cols = [gram.view(np.int64), sig[text], side[text].astype(np.int32), n[text].astype(np.int32), pos.astype(np.int32), p0[text], p1[text]]
-                if extra:
-                    cols += extra(w, first, raw, text, gram)
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=names)
+                text = p.text[ok]
+                cols = [p.gram[ok].view(np.int64), p.sig[text], sides[a:b][text].astype(np.int32), p.n[text].astype(np.int32), p.pos[ok].astype(np.int32), p.p0[ok], p.p1[ok], lev[ok] > COLD]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
 
-    return rows.select("row_id", "text", "side").mapInArrow(run, POSTING + extra_schema)
+    return rows.select("row_id", "text", "side").mapInArrow(run, POSTING)
 
 
 def least_overlap(n: Column, m: Column, threshold: float) -> Column:
@@ -181,43 +187,60 @@ def may_match(a: Callable[[str], Column], b: Callable[[str], Column], threshold:
 
     Length: the smaller set has at least the threshold's share of the larger.
     Position: the common triple and all that can follow it reach the overlap
-    needed (true at a pair's first common triple, so no alike pair is lost).
-    Suffix: the parity bits bound the symmetric difference from below.
+    needed.  Suffix: what follows the common triple in both sets has to hold the
+    rest of that overlap; parity bits of the two suffixes bound their difference
+    from below.  Both are true at a pair's first common triple, so no alike pair
+    is lost.
     """
     t = Fraction(str(threshold))
     need = least_overlap(a("n"), b("n"), threshold)
     length = F.least(a("n"), b("n")) * t.denominator >= F.greatest(a("n"), b("n")) * t.numerator
-    position = F.lit(1) + F.least(a("n") - a("pos") - 1, b("n") - b("pos") - 1) >= need
+    left, right = a("n") - a("pos") - 1, b("n") - b("pos") - 1
+    position = F.lit(1) + F.least(left, right) >= need
     differ = F.bit_count(a("p0").bitwiseXOR(b("p0"))) + F.bit_count(a("p1").bitwiseXOR(b("p1")))
-    return length & position & (differ <= a("n") + b("n") - 2 * need)
+    return length & position & (differ <= left + right - 2 * (need - 1))
 
 
-def meetings(post: DataFrame, keys: list[str], fields: list[str], match: Callable, name: str, distinct_on: list[str] | None = None) -> DataFrame:
+def meetings(post: DataFrame, keys: list[str], fields: list[str], match: Callable, name: str, distinct_on: list[str]) -> DataFrame:
     """Pairs (struct a, struct b) of rows that share ``keys`` and satisfy match(a, b), each orientation once.
 
-    One shuffle by key.  Inside a key each row looks back on at most RUN rows;
-    keys with more rows are set apart and cut into blocks, whose pairs are joined
-    on any number of tasks, so that no task holds a hot key whole and no pair is
-    lost.  fields[0] orders rows inside a key and has to be unique there.
+    post has a boolean ``hot``: keys without it have few rows (about RUN) and meet
+    in one shuffle, each row looking back on the others.  Rows of hot keys are
+    dealt out one by one in the same shuffle, their keys are counted by partial
+    sums, and each is cut into blocks whose pairs are joined on any number of
+    tasks: no task ever holds a hot key whole and no pair is lost.  fields[0]
+    orders rows inside a key and has to be unique there.
     """
-    flat = post.repartition(*[F.col(k) for k in keys])
-    if distinct_on:
-        flat = flat.dropDuplicates(distinct_on)
+    own = F.when(F.col("hot"), F.xxhash64(*distinct_on)).otherwise(F.lit(0))
+    flat = post.withColumn("own", own).repartition(*[F.col(k) for k in keys], F.col("own")).dropDuplicates([*distinct_on, "own"])
     item = F.struct(*fields)
-    by = Window.partitionBy(*keys)
-    back = by.orderBy(*fields).rowsBetween(-(RUN - 1), -1)
-    some = flat.withColumn("cnt", F.count(F.lit(1)).over(by)).filter("cnt > 1")
-    hot = F.col("cnt") > RUN
+    back = Window.partitionBy(*keys, "own").orderBy(*fields).rowsBetween(Window.unboundedPreceding, -1)
     looked = (
-        some.withColumn("prev", F.when(~hot, F.collect_list(item).over(back)))
-        .withColumn("a", F.when(~hot, F.filter("prev", lambda p: match(lambda c: p[c], lambda c: F.col(c)))))
-        .filter(hot | (F.size("a") > 0))
-        .select(*keys, "cnt", item.alias("b"), F.explode_outer("a").alias("a"), hot.alias("hot"))
+        flat.withColumn("prev", F.when(~F.col("hot"), F.collect_list(item).over(back)))
+        .withColumn("a", F.when(~F.col("hot"), F.filter("prev", lambda p: match(lambda c: p[c], lambda c: F.col(c)))))
+        .filter(F.col("hot") | (F.size("a") > 0))
+        .select(*keys, item.alias("b"), F.explode_outer("a").alias("a"), "hot")
     )
     kept = staged(looked, name)
     cold = kept.filter("not hot").select(*keys, "a", "b")
-    rest = kept.filter("hot").select(*keys, "cnt", "b")
-    return cold.unionByName(block_pairs(rest, keys, "b", match))
+    rest = kept.filter("hot").select(*keys, "b")
+    if rest.isEmpty():
+        return cold
+    return cold.unionByName(block_pairs(counted(rest, keys), keys, "b", match))
+
+
+def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with ``cnt``, how many share their keys; keys of single rows drop out.  Counts combine before the shuffle."""
+    sizes = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1"), "key-sizes")
+    return rows.join(bounded(sizes), keys)
+
+
+def flag_hot(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (staged) with ``hot``: whether more than RUN of them share their keys."""
+    many = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") > RUN).select(*keys, F.lit(True).alias("hot")), "hot-keys")
+    if many.isEmpty():
+        return rows.withColumn("hot", F.lit(False))
+    return rows.join(bounded(many), keys, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
 
 
 def block_pairs(rows: DataFrame, keys: list[str], item: str, match: Callable | None = None, block: int = RUN) -> DataFrame:
@@ -239,46 +262,30 @@ def block_pairs(rows: DataFrame, keys: list[str], item: str, match: Callable | N
     return both.select(*keys, "a", "b")
 
 
-def gram_sets(rows: DataFrame) -> DataFrame:
-    """row_id, grams (packed set of triples) of rows(row_id, text)."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                w = Words(texts[a:b])
-                first, raw = triples(w)
-                text, gram = distinct(w.text[first], raw)
-                at = bounds(text, b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([pack(gram[x:y]) for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["row_id", "grams"])
-
-    return rows.select("row_id", "text").mapInArrow(cut, "row_id bigint, grams binary")
-
-
 def jaccard_pairs(met: DataFrame, threshold: float) -> DataFrame:
-    """met(sig_a, sig_b, grams_a, grams_b) -> (sig_a, sig_b) of those that are alike."""
+    """met(sig_a, sig_b, old, grams_a, grams_b) -> (sig_a, sig_b, old) of those that are alike."""
     t = Fraction(str(threshold))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = unpack(x), unpack(y)
-                o = len(np.intersect1d(x, y, assume_unique=True))
-                if o * t.denominator >= t.numerator * (len(x) + len(y) - o):
-                    hit.append(i)
+            hit = [i for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())) if _common(x, y, t)]
             take = pa.array(hit, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], names=["sig_a", "sig_b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(take) for k in range(3)], names=["sig_a", "sig_b", "old"])
 
-    return met.select("sig_a", "sig_b", "grams_a", "grams_b").mapInArrow(check, "sig_a bigint, sig_b bigint")
+    return met.select("sig_a", "sig_b", "old", "grams_a", "grams_b").mapInArrow(check, "sig_a bigint, sig_b bigint, old boolean")
 
 
-def verify(rows: DataFrame, signs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, name: str = "edges", coverage: bool = False) -> DataFrame:
-    """Of distinct pairs (sig_a, sig_b) those that are alike, staged.  Only texts of candidate classes are cut again.
+def _common(x: bytes, y: bytes, t: Fraction) -> float:
+    """The similarity of two packed sets, or 0 below the threshold."""
+    both = np.concatenate([unpack(x), unpack(y)])
+    both.sort(kind="stable")
+    o = int((both[1:] == both[:-1]).sum())
+    union = len(both) - o
+    return o / union if o * t.denominator >= t.numerator * union else 0.0
 
-    With ``coverage`` also the share of each text's words that lies in common
-    spans (runs of common triples, merged).
-    """
+
+def verify(rows: DataFrame, signs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, name: str = "edges") -> DataFrame:
+    """Of distinct pairs (sig_a, sig_b) those that are alike, with their similarity, staged.  Only texts of candidate classes are cut again."""
     t = Fraction(str(threshold))
     needed = pairs.select(F.col("sig_a").alias("sig")).unionByName(pairs.select(F.col("sig_b").alias("sig"))).distinct()
     reps = signs.filter("n > 0").groupBy("sig").agg(F.min("row_id").alias("row_id")).join(needed, "sig", "left_semi")
@@ -294,52 +301,20 @@ def verify(rows: DataFrame, signs: DataFrame, pairs: DataFrame, threshold: float
                 first, raw = triples(w)
                 text, gram = distinct(w.text[first], raw)
                 at = bounds(text, b - a)
-                sets = [pack(gram[x:y]) for x, y in zip(at[:-1], at[1:])]
-                if coverage:
-                    run = bounds(w.text[first], b - a)
-                    order = [pack(raw[x:y]) for x, y in zip(run[:-1], run[1:])]
-                else:
-                    order = [None] * (b - a)
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(sets, pa.binary()), pa.array(order, pa.binary())], names=["row_id", "grams", "run"])
-
-    grams = chosen.mapInArrow(cut, "row_id bigint, grams binary, run binary").join(reps, "row_id").select("sig", "grams", *["run"] * coverage)
+                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array([pack(gram[x:y]) for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["row_id", "grams"])
+
+    grams = chosen.mapInArrow(cut, "row_id bigint, grams binary").join(reps, "row_id").select("sig", "grams")
     side = lambda s: grams.select(*[F.col(c).alias(f"{c}_{s}") for c in grams.columns])
-    met = pairs.join(side("a"), "sig_a").join(side("b"), "sig_b")
+    met = pairs.join(side("a"), "sig_a").join(side("b"), "sig_b").select("sig_a", "sig_b", "grams_a", "grams_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            xs, ys = col["grams_a"].to_pylist(), col["grams_b"].to_pylist()
-            hit, sim, cov = [], [], []
-            for i, (x, y) in enumerate(zip(xs, ys)):
-                x, y = unpack(x), unpack(y)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = both[1:][both[1:] == both[:-1]]
-                o = len(same)
-                if o * t.denominator >= t.numerator * (len(x) + len(y) - o):
-                    hit.append(i)
-                    sim.append(o / (len(x) + len(y) - o))
-                    if coverage:
-                        cov.append(tuple(_covered(unpack(col[c][i].as_py()), same) for c in ("run_a", "run_b")))
-            take = pa.array(hit, pa.int64())
-            out = [col["sig_a"].take(take), col["sig_b"].take(take), pa.array(sim, pa.float64())]
-            if coverage:
-                out += [pa.array([c[k] for c in cov], pa.float64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(out, names=["sig_a", "sig_b", "similarity", "cover_a", "cover_b"][: len(out)])
-
-    schema = "sig_a bigint, sig_b bigint, similarity double" + ", cover_a double, cover_b double" * coverage
-    return staged(met.mapInArrow(check, schema), name)
-
+            sims = [(i, s) for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if (s := _common(x, y, t))]
+            take = pa.array([i for i, _ in sims], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([s for _, s in sims], pa.float64())], names=["sig_a", "sig_b", "similarity"])
 
-def _covered(run: np.ndarray, common: np.ndarray) -> float:
-    """Share of words inside spans of common triples; run: a text's triples in order."""
-    inside = np.zeros(len(run) + 2, dtype=bool)
-    at = np.flatnonzero(np.isin(run, common))
-    for k in range(3):
-        inside[at + k] = True
-    return float(inside.mean())
+    return staged(met.mapInArrow(check, "sig_a bigint, sig_b bigint, similarity double"), name)
 
 
-def sketch_of(parts: DataFrame, crossing: bool = False) -> np.ndarray:
-    return merge_sketch(parts, "side") if crossing else merge_sketch(parts.drop("side"))
+def sketch_of(parts: DataFrame, bits: int, crossing: bool = False) -> np.ndarray:
+    return merge_sketch(parts, "side", bits) if crossing else merge_sketch(parts.drop("side"), None, bits)

@@ -120,10 +120,10 @@ def triples(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return first, mix(a * np.uint64(3) + b * np.uint64(0x9E3779B1) + c * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(24)
 
 
-def paragraphs(w: Words, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and 40-bit hash of every line with at least so many words; spelling of words counts, spacing doesn't."""
+def paragraphs(w: Words, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, 40-bit hash and words of every line with at least so many words; spelling of words counts, spacing doesn't."""
     if not len(w.hash):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     lines = np.flatnonzero((w._cp == 10) | (w._cp == 0))
     line = np.searchsorted(lines, w.start)
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
@@ -131,7 +131,7 @@ def paragraphs(w: Words, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
     at = (np.arange(len(line)) - np.repeat(first, n)).astype(np.uint64)
     sums = np.add.reduceat(mix(w.hash + at * np.uint64(0x9E3779B97F4A7C15)), first)
     long = n >= least
-    return w.text[first[long]], mix(sums[long]) >> np.uint64(24)
+    return w.text[first[long]], mix(sums[long]) >> np.uint64(24), n[long]
 
 
 def distinct(text: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

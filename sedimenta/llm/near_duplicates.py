@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .alike import THRESHOLD, block_pairs, meetings, may_match, pair_text, postings, scan, sketch_of, verify
@@ -23,8 +24,8 @@ def near_duplicate_groups(records: DataFrame, id_col: str = "row_id", instructio
     ones are ignored, whatever their names.
     """
     rows = records.select(F.col(id_col).cast("bigint").alias("row_id"), pair_text(instruction, output).alias("text"), F.lit(0).alias("side")).filter("row_id is not null")
-    signs, parts = scan(rows)
-    edges = alike_classes(rows, signs, parts, threshold)
+    signs, parts, bits = scan(rows)
+    edges = alike_classes(rows, signs, sketch_of(parts, bits), threshold)
     roots = components(edges.select(F.col("sig_a").alias("u"), F.col("sig_b").alias("v")))
     of = signs.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     key = F.when(F.col("n") == 0, F.struct(F.lit(False).alias("k"), F.col("row_id").alias("x"))).otherwise(F.struct(F.lit(True).alias("k"), F.coalesce("root", "sig").alias("x")))
@@ -33,9 +34,9 @@ def near_duplicate_groups(records: DataFrame, id_col: str = "row_id", instructio
     return of.join(least, "key").select("row_id", "group_id", "cnt")
 
 
-def alike_classes(rows: DataFrame, signs: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+def alike_classes(rows: DataFrame, signs: DataFrame, cells: np.ndarray, threshold: float) -> DataFrame:
     """Alike pairs (sig_a, sig_b, similarity) of different classes."""
-    post = postings(rows, sketch_of(parts), threshold).drop("side")
+    post = postings(rows, cells, threshold).drop("side")
     met = meetings(post, ["gram"], ["sig", "n", "pos", "p0", "p1"], lambda a, b: may_match(a, b, threshold), "meetings", ["gram", "sig"])
     pairs = met.select(F.col("a.sig").alias("sig_a"), F.col("b.sig").alias("sig_b")).distinct()
     return verify(rows, signs, pairs, threshold)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..plans.staging import staged
-from .alike import block_pairs, meetings
+from .alike import block_pairs, flag_hot, meetings
 from .kernel import code_points, prefix_hash, range_hash, slices
 from .sketch import keep_ids
 
@@ -169,7 +169,8 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     sizes = found.groupBy("sig").agg(F.count(F.lit(1)).alias("cnt"), F.min("doc_id").alias("rep"))
     paths = compacted_paths(graph.filter("edge is not null").drop("doc_id"))
     keys = ["path", "side", "flank"]
-    met = meetings(meeting_keys(paths, least), keys, ["sig", "s", "e"], lambda a, b: a("sig") != b("sig"), "paths", [*keys, "sig", "s"])
+    asked = flag_hot(staged(meeting_keys(paths, least), "path-keys"), keys)
+    met = meetings(asked, keys, ["sig", "s", "e"], lambda a, b: a("sig") != b("sig"), "paths", [*keys, "sig", "s"])
     turn = F.col("a.sig") < F.col("b.sig")
     x, y = F.when(turn, F.col("a")).otherwise(F.col("b")), F.when(turn, F.col("b")).otherwise(F.col("a"))
     aligned = met.filter("a.sig <> b.sig").select(x.alias("x"), y.alias("y")).select(F.col("x.sig").alias("sig_a"), F.col("y.sig").alias("sig_b"), F.col("x.s").alias("s"), F.col("x.e").alias("e"), (F.col("x.s") - F.col("y.s")).alias("shift"))

@@ -1,8 +1,9 @@
-"""Fixed-size count sketch and id filter, both merged on the executors.
+"""Count sketch and id filter of bounded size, both merged on the executors.
 
-Neither grows with the data: a sketch has 2**26 one-byte cells in 64 slices and
-a filter at most 2**27 bits, so both may be broadcast at any scale.  They only
-order or thin out work; no result depends on their collisions.
+A sketch has one-byte cells in slices of 2**20, about four to a distinct triple
+and never more than 2**MOST_BITS; a filter has at most 2**27 bits.  So both may
+be broadcast at any scale.  They only order or thin out work; no result depends
+on their collisions.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .kernel import mix
 
 SLOT_BITS = 26
+LEAST_BITS, MOST_BITS = 20, 27
 SLICE_BITS = 20
 GRAM_BITS = 40
 FLUSH = 6_000_000
@@ -26,15 +28,26 @@ LEVEL = 63
 FLAG_A, FLAG_B = 64, 128
 
 
+def sketch_bits(chars: int) -> int:
+    """Bits of a cell's number for texts of so many characters: some six make a word, and a third of all triples are new ones."""
+    return int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(chars, 1) / 4)))))
+
+
+def cell_of(cells: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The cells of 40-bit grams."""
+    return cells[(gram >> np.uint64(GRAM_BITS - (len(cells).bit_length() - 1))).astype(np.int64)]
+
+
 class SketchWriter:
     """Gathers 40-bit grams of a task and yields (slice, packed counts) records."""
 
-    def __init__(self) -> None:
+    def __init__(self, bits: int = SLOT_BITS) -> None:
+        self.bits = bits
         self.parts: list[np.ndarray] = []
         self.size = 0
 
     def add(self, gram: np.ndarray) -> list[tuple[int, bytes]]:
-        self.parts.append((gram >> np.uint64(GRAM_BITS - SLOT_BITS)).astype(np.uint32))
+        self.parts.append((gram >> np.uint64(GRAM_BITS - self.bits)).astype(np.uint32))
         self.size += len(gram)
         return self.flush() if self.size > FLUSH else []
 
@@ -46,7 +59,7 @@ class SketchWriter:
         first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
         count = np.minimum(np.diff(np.append(first, len(slots))), 65535).astype(np.uint16)
         slots = slots[first]
-        cut = np.searchsorted(slots >> np.uint32(SLICE_BITS), np.arange((1 << (SLOT_BITS - SLICE_BITS)) + 1))
+        cut = np.searchsorted(slots >> np.uint32(SLICE_BITS), np.arange((1 << (self.bits - SLICE_BITS)) + 1))
         out = []
         for k in range(len(cut) - 1):
             a, b = cut[k], cut[k + 1]
@@ -79,12 +92,12 @@ def level(count: np.ndarray) -> np.ndarray:
     return _LEVELS[np.minimum(count, 1 << 21)]
 
 
-def merge_sketch(parts: DataFrame, side: str | None = None) -> np.ndarray:
+def merge_sketch(parts: DataFrame, side: str | None = None, bits: int = SLOT_BITS) -> np.ndarray:
     """Cells of the whole table from records (part int, data binary[, side int]).
 
     A cell holds the level of its count; with ``side``, also in which of the two
     sides (0, 1) it occurs.  The records are summed by slice on the executors;
-    64 slices of one megabyte reach the driver whatever the table's size.
+    at most 128 slices of one megabyte reach the driver whatever the table's size.
     """
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,11 +133,11 @@ def merge_sketch(parts: DataFrame, side: str | None = None) -> np.ndarray:
         return pd.DataFrame(out, columns=["part", "data", "w"])
 
     n = parts.count()
-    if n > 256 << (SLOT_BITS - SLICE_BITS):
-        groups = n // (256 << (SLOT_BITS - SLICE_BITS)) + 1
+    if n > 256 << (bits - SLICE_BITS):
+        groups = n // (256 << (bits - SLICE_BITS)) + 1
         parts = parts.withColumn("g", (F.rand(5) * groups).cast("int")).groupBy("part", "g").applyInPandas(partial, "part int, data binary, w int")
         parts = parts.withColumnRenamed("w", side) if side else parts.drop("w")
-    cells = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
+    cells = np.zeros(1 << bits, dtype=np.uint8)
     for k, data in parts.groupBy("part").applyInPandas(total, "part int, cells binary").toLocalIterator():
         cells[k << SLICE_BITS : (k + 1) << SLICE_BITS] = np.frombuffer(zlib.decompress(bytes(data)), dtype=np.uint8)
     return cells
