@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WORD = re.compile(r"[^\W_]+")
-#: Items of one automaton; a larger item table is scanned in so many blocks.
-BLOCK_ITEMS = 20_000
+#: Characters of the item texts of one automaton (some 50 MB of patterns); larger item tables are stated queries in blocks.
+BLOCK_CHARS = 5_000_000
 _BUILT: dict[str, object] = {}
 
 FOUND = "doc_id bigint, item_id bigint, start_char int, end_char int, words int"
@@ -29,15 +29,17 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     Method: one Aho-Corasick automaton over all runs of ``least`` words of the
     normalised item texts; each document is normalised (lower case, words joined
     by blanks) and run through it once; overlapping hits of an item merge and
-    their offsets are mapped back to the original text.  The automaton holds at
-    most BLOCK_ITEMS items (checked by a count); more items make more blocks.
+    their offsets are mapped back to the original text.  An automaton holds items
+    of about BLOCK_CHARS characters (checked by a sum), which bounds what is sent
+    to a worker; a larger item table is cut into blocks that are run one by one.
 
     Item texts of fewer than ``least`` words and null texts match nothing; null
     or empty documents and null ids give no row.  Items with equal text are all
     reported.  Repeated documents are reported each.
     """
     named = items.select(F.col(item_id).cast("bigint").alias("item_id"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(item_texts)]).filter("item_id is not null")
-    blocks = max(1, -(-named.count() // BLOCK_ITEMS))
+    size = F.sum(sum((F.coalesce(F.length(f"t{i}"), F.lit(0)) for i in range(len(item_texts))), F.lit(0)))
+    blocks = max(1, -(-(named.agg(size).first()[0] or 0) // BLOCK_CHARS))
     out = None
     for k in range(blocks):
         own = named if blocks == 1 else named.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)

@@ -91,6 +91,11 @@ def p7_removed_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_per_batch(table(spark, sf_dir, "eval_raw"), table(spark, sf_dir, "generation_stats"))
 
 
+def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected rows with their kind and the share of their words in paragraphs of earlier deliveries."""
+    return replay(table(spark, sf_dir, "eval_raw"), table(spark, sf_dir, "generation_stats")).select("row_id", "kind", "coverage")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_prompt"))
     return found.select("doc_id", "item_id").distinct()
@@ -108,6 +113,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
 
 
+def p9_shares_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the listed sources have: the exponent is bisected to keep to the repeats."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), budget_share=1.0)[1]
+
+
+def p9_shares_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Natural shares flattened to nine tenths of the highest entropy."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), entropy_share=0.9)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_pairs(*shared_spans(table(spark, sf_dir, "documents")))
 
@@ -132,10 +147,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
     "p7_removed_per_batch": p7_removed_per_batch,
+    "p7_coverage": p7_coverage,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_shares_budget": p9_shares_budget,
+    "p9_shares_entropy": p9_shares_entropy,
     "p10_found": p10_found,
     "p10_shared_share": p10_shared_share,
 }

@@ -130,6 +130,18 @@ def compacted_paths(edges: DataFrame) -> DataFrame:
     return part.groupBy("sig", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), whole, *ends).select("path", "sig", "s", "e", "before", "behind")
 
 
+def with_letters(paths: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The same paths, told apart by a digest of the letters that stand at their coordinates in the source texts.
+
+    Occurrences whose node hashes agree but whose letters don't are so parted
+    again, and what meets in a path is equal letter by letter.
+    """
+    reps = staged(sizes.join(paths.select("sig").distinct(), "sig", "left_semi").select("sig", F.col("rep").alias("doc_id")), "path-reps")
+    texts = keep_ids(docs, "doc_id", reps.select("doc_id")).join(reps, "doc_id").select("sig", "text")
+    letters = F.md5(F.expr("substring(text, s + 1, e - s)"))
+    return paths.join(texts, "sig").withColumn("path", F.xxhash64("path", letters)).select(*paths.columns)
+
+
 def meeting_keys(paths: DataFrame, least: int) -> DataFrame:
     """paths with (side, flank), up to two rows an occurrence: what two texts have to share to have ``least`` characters in common.
 
@@ -155,9 +167,10 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Method: compaction of a de Bruijn graph whose tokens are content-chosen
     character windows (k-mers in token space): edges that more than one text
-    holds are compacted into unbranched paths through joins and windows; texts
-    that meet in a path are aligned by its coordinates, aligned paths are merged,
-    and what stays shorter than ``least`` is compared letter by letter.  Any
+    holds are compacted into unbranched paths through joins and windows; each
+    path is verified by the letters at its source coordinates; texts that meet in
+    a path are aligned by its coordinates, aligned paths are merged, and what
+    stays shorter than ``least`` is compared letter by letter beyond them.  Any
     shared span of ``least`` characters holds an edge, so none is missed.
 
     Null and shorter texts share nothing.  Equal texts form one class and are
@@ -167,7 +180,7 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     graph = staged(graph_edges(docs, least), "span-graph")
     found = graph.filter("edge is null").select("doc_id", "sig")
     sizes = found.groupBy("sig").agg(F.count(F.lit(1)).alias("cnt"), F.min("doc_id").alias("rep"))
-    paths = compacted_paths(graph.filter("edge is not null").drop("doc_id"))
+    paths = with_letters(staged(compacted_paths(graph.filter("edge is not null").drop("doc_id")), "paths"), docs, sizes)
     keys = ["path", "side", "flank"]
     asked = flag_hot(staged(meeting_keys(paths, least), "path-keys"), keys)
     met = meetings(asked, keys, ["sig", "s", "e"], lambda a, b: a("sig") != b("sig"), "paths", [*keys, "sig", "s"])
