@@ -284,8 +284,13 @@ def _common(x: bytes, y: bytes, t: Fraction) -> float:
     return o / union if o * t.denominator >= t.numerator * union else 0.0
 
 
-def verify(rows: DataFrame, signs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, name: str = "edges") -> DataFrame:
-    """Of distinct pairs (sig_a, sig_b) those that are alike, with their similarity, staged.  Only texts of candidate classes are cut again."""
+def verify(rows: DataFrame, signs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, name: str = "edges", coverage: bool = False) -> DataFrame:
+    """Of distinct pairs (sig_a, sig_b) those that are alike, with their similarity, staged.  Only texts of candidate classes are cut again.
+
+    With ``coverage`` also the share of each text's words that lies in common
+    spans: triples of either text that the other has, at their places in order,
+    runs of them merged.
+    """
     t = Fraction(str(threshold))
     needed = pairs.select(F.col("sig_a").alias("sig")).unionByName(pairs.select(F.col("sig_b").alias("sig"))).distinct()
     reps = signs.filter("n > 0").groupBy("sig").agg(F.min("row_id").alias("row_id")).join(needed, "sig", "left_semi")
@@ -301,19 +306,37 @@ def verify(rows: DataFrame, signs: DataFrame, pairs: DataFrame, threshold: float
                 first, raw = triples(w)
                 text, gram = distinct(w.text[first], raw)
                 at = bounds(text, b - a)
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array([pack(gram[x:y]) for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["row_id", "grams"])
+                sets = [pack(gram[x:y]) for x, y in zip(at[:-1], at[1:])]
+                run = bounds(w.text[first], b - a)
+                order = [pack(raw[x:y]) for x, y in zip(run[:-1], run[1:])] if coverage else [None] * (b - a)
+                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(sets, pa.binary()), pa.array(order, pa.binary())], names=["row_id", "grams", "run"])
 
-    grams = chosen.mapInArrow(cut, "row_id bigint, grams binary").join(reps, "row_id").select("sig", "grams")
+    grams = chosen.mapInArrow(cut, "row_id bigint, grams binary, run binary").join(reps, "row_id").select("sig", "grams", *["run"] * coverage)
     side = lambda s: grams.select(*[F.col(c).alias(f"{c}_{s}") for c in grams.columns])
-    met = pairs.join(side("a"), "sig_a").join(side("b"), "sig_b").select("sig_a", "sig_b", "grams_a", "grams_b")
+    met = pairs.join(side("a"), "sig_a").join(side("b"), "sig_b")
+    met = met.select("sig_a", "sig_b", "grams_a", "grams_b", *["run_a", "run_b"] * coverage)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sims = [(i, s) for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if (s := _common(x, y, t))]
             take = pa.array([i for i, _ in sims], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([s for _, s in sims], pa.float64())], names=["sig_a", "sig_b", "similarity"])
-
-    return staged(met.mapInArrow(check, "sig_a bigint, sig_b bigint, similarity double"), name)
+            out = [batch.column(0).take(take), batch.column(1).take(take), pa.array([s for _, s in sims], pa.float64())]
+            if coverage:
+                for own, other in ((4, 3), (5, 2)):
+                    out.append(pa.array([_covered(unpack(batch.column(own)[i].as_py()), unpack(batch.column(other)[i].as_py())) for i, _ in sims], pa.float64()))
+            yield pa.RecordBatch.from_arrays(out, names=["sig_a", "sig_b", "similarity", "cover_a", "cover_b"][: len(out)])
+
+    schema = "sig_a bigint, sig_b bigint, similarity double" + ", cover_a double, cover_b double" * coverage
+    return staged(met.mapInArrow(check, schema), name)
+
+
+def _covered(run: np.ndarray, other: np.ndarray) -> float:
+    """Share of a text's words inside spans that stand in another; run: its triples in order, other: the set of the other's."""
+    inside = np.zeros(len(run) + 2, dtype=bool)
+    at = np.flatnonzero(np.isin(run, other))
+    for k in range(3):
+        inside[at + k] = True
+    return float(inside.mean())
 
 
 def sketch_of(parts: DataFrame, bits: int, crossing: bool = False) -> np.ndarray:

@@ -7,18 +7,17 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.staging import staged
-from .alike import COLD, THRESHOLD, Prefixes, meetings, may_match, pair_text, scan, sketch_of, verify
+from .alike import COLD, THRESHOLD, Prefixes, may_match, meetings, pair_text, scan, sketch_of, verify
 from .kernel import slices
 from .sketch import FLAG_A, FLAG_B, LEVEL, Shared, cell_of
 
-#: Words of a suffix: its first three are the key of its partition, the others are kept for sorting, two to a long.
-TAIL = 6
+#: Words of a suffix that are kept for sorting and comparing beyond its first three, fifteen bits each.
+TAIL = 4
 BOTH = FLAG_A | FLAG_B
-SUFFIX = "gram bigint, salt bigint, t0 bigint, t1 bigint, t2 bigint, sig bigint, side int, start int, n int, words int, first boolean, pos int, p0 bigint, p1 bigint, hot boolean"
-SPANS = SUFFIX + ", lcp int"
+SUFFIX = "gram bigint, tail bigint, sig bigint, side int, start int, n int, pos int, p0 bigint, p1 bigint, hot boolean"
 
 
 def split_side(split: str = "split"):
@@ -28,14 +27,12 @@ def split_side(split: str = "split"):
 
 
 def suffixes(rows: DataFrame, cells: np.ndarray, threshold: float) -> DataFrame:
-    """The suffixes (SUFFIX), one from every word on, of the records that may have a partner on the other side.
+    """The suffixes (SUFFIX) that begin at the rarest triples of every record that may have a partner on the other side.
 
     A record that is alike to one of the other side has at least the threshold's
     share of its distinct triples there, so a record with fewer triples that
     occur on both sides (by the sketch, which may count some too many) is left
-    out.  ``first``: first place of its triple in the record; pos, p0, p1 stand
-    on the record's rarest triples only.  Suffixes of very frequent triples are
-    dealt out by the word that follows (salt).
+    out; so are suffixes whose triple occurs on one side only.
     """
     t = Fraction(str(threshold))
     shared = Shared(rows.sparkSession, cells)
@@ -50,142 +47,74 @@ def suffixes(rows: DataFrame, cells: np.ndarray, threshold: float) -> DataFrame:
             for a, b in slices(texts):
                 p = Prefixes(texts[a:b], sk, t, seen, sides[a:b])
                 crossing = np.bincount(p.all_text[(cell_of(sk, p.all_gram) & BOTH) == BOTH], minlength=b - a)
-                keep = p.fresh & (crossing * t.denominator >= p.n * t.numerator)
-                w = p.words
-                at = p.first[keep[w.text[p.first]]]
-                if not len(at):
+                covered = crossing * t.denominator >= p.n * t.numerator
+                ok = covered[p.text] & ((p.cell & BOTH) == BOTH)
+                if not ok.any():
                     continue
-                gram, text = p.raw[keep[w.text[p.first]]], w.text[at]
-                ends = np.searchsorted(w.text, np.arange(b - a), side="right")
+                text, gram, w = p.text[ok], p.gram[ok], p.words
+                # first place of each triple in its record
+                key = (w.text[p.first].astype(np.uint64) << np.uint64(40)) | p.raw
+                order = np.argsort(key, kind="stable")
+                at = p.first[order[np.searchsorted(key[order], (text.astype(np.uint64) << np.uint64(40)) | gram)]]
                 place = at[:, None] + np.arange(3, 3 + TAIL)
-                word = np.where(place < ends[text][:, None], w.hash[np.minimum(place, len(w.hash) - 1)] >> np.uint64(33), 0).astype(np.uint64)
-                tails = [((word[:, 2 * k] << np.uint64(31)) | word[:, 2 * k + 1]).view(np.int64) for k in range(TAIL // 2)]
-                key = (text.astype(np.uint64) << np.uint64(40)) | gram
-                first = np.zeros(len(at), dtype=bool)
-                first[np.unique(key, return_index=True)[1]] = True
-                rare = (p.text.astype(np.uint64) << np.uint64(40)) | p.gram
-                order = np.argsort(rare)
-                found = np.minimum(np.searchsorted(rare[order], key), max(0, len(rare) - 1))
-                seed = first & (rare[order][found] == key) & ((p.cell[order][found] & BOTH) == BOTH)
-                pick = order[found]
-                opt = lambda x: pa.array(x[pick], mask=~seed)
-                hot = (cell_of(sk, gram) & LEVEL) > COLD
-                salt = np.where(hot, (word[:, 0]).view(np.int64), 0)
-                begins = np.searchsorted(w.text, np.arange(b - a))
-                cols = [gram.view(np.int64), salt, *tails, p.sig[text], sides[a:b][text].astype(np.int32), (at - begins[text]).astype(np.int32), p.n[text].astype(np.int32), (ends - begins)[text].astype(np.int32), first, opt(p.pos.astype(np.int32)), opt(p.p0), opt(p.p1), hot]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names=names)
+                ends = np.searchsorted(w.text, np.arange(b - a), side="right")[text]
+                word = np.where(place < ends[:, None], (w.hash[np.minimum(place, len(w.hash) - 1)] >> np.uint64(49)) | np.uint64(1), np.uint64(0))
+                tail = np.zeros(len(at), dtype=np.uint64)
+                for k in range(TAIL):
+                    tail = (tail << np.uint64(15)) | word[:, k]
+                start = at - np.searchsorted(w.text, text)
+                cols = [gram.view(np.int64), tail.view(np.int64), p.sig[text], sides[a:b][text].astype(np.int32), start.astype(np.int32), p.n[text].astype(np.int32), p.pos[ok].astype(np.int32), p.p0[ok], p.p1[ok], (p.cell[ok] & LEVEL) > COLD]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
 
     return rows.select("row_id", "text", "side").mapInArrow(run, SUFFIX)
 
 
-def common_prefixes(array: DataFrame) -> DataFrame:
-    """Sorted suffixes with ``lcp``: words of the longest common prefix with any suffix of the other side (at most 3 + TAIL).
+def common_prefix(a: Column, b: Column) -> Column:
+    """Words that two suffixes of one run have in common: their first three and the equal ones at the head of their tails."""
+    out = F.lit(3)
+    for k in range(1, TAIL + 1):
+        shift = 15 * (TAIL - k)
+        x, y = F.shiftright(a, shift), F.shiftright(b, shift)
+        out = F.when((x == y) & (x.bitwiseAND(F.lit(32767)) > 0), F.lit(3 + k)).otherwise(out)
+    return out
 
-    In sorted order that is the prefix shared with the nearest suffix of the
-    other side before or behind.  A task streams its partition and holds one run
-    of equal first words at a time.  Of a very frequent triple the suffixes of
-    one following word make a run; alone in theirs they still share the three
-    words, as the triple is known to occur on both sides.
-    """
-    names = [f.split()[0] for f in SPANS.split(", ")]
-
-    def judge(table: pa.Table) -> pa.RecordBatch:
-        col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "salt", "t0", "t1", "t2", "side", "hot")}
-        n = len(table)
-        run = np.cumsum(np.concatenate([[True], (col["gram"][1:] != col["gram"][:-1]) | (col["salt"][1:] != col["salt"][:-1])]))
-        parts = [x for k in ("t0", "t1", "t2") for x in (col[k] >> 31, col[k] & ((1 << 31) - 1))]
-        i = np.arange(n)
-        lcp = np.zeros(n, dtype=np.int32)
-        for s in (0, 1):
-            own = col["side"] == s
-            before = np.maximum.accumulate(np.where(own, i, -1))
-            behind = np.minimum.accumulate(np.where(own, i, n)[::-1])[::-1]
-            for near in (before, behind):
-                ok = ~own & (near >= 0) & (near < n)
-                j = np.clip(near, 0, n - 1)
-                ok &= run[j] == run
-                same, length = ok.copy(), np.where(ok, 3, 0)
-                for part in parts:
-                    same &= (part == part[j]) & (part > 0)
-                    length += same
-                lcp = np.maximum(lcp, length.astype(np.int32))
-        lcp = np.where((lcp == 0) & col["hot"], 3, lcp)
-        return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in names[:-1]), pa.array(lcp)], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            gram, salt = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            changes = np.flatnonzero((gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1]))
-            begins_anew = bool(held) and (held[-1].column(0)[-1].as_py() != gram[0] or held[-1].column(1)[-1].as_py() != salt[0])
-            if begins_anew:
-                yield judge(pa.Table.from_batches(held))
-                held = []
-            if len(changes):
-                cut = int(changes[-1]) + 1
-                yield judge(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = [batch.slice(cut)]
-            else:
-                held.append(batch)
-        if held:
-            yield judge(pa.Table.from_batches(held))
-
-    order = ["gram", "salt", "t0", "t1", "t2"]
-    return array.repartition("gram", "salt").sortWithinPartitions(*order).mapInArrow(run, SPANS)
-
-
-def coverage(spans: DataFrame) -> DataFrame:
-    """Per record (sig, side): n, shared (distinct triples of the other side), cover (share of its words in merged spans shared with that side)."""
-    ends = F.array_sort(F.collect_list(F.when(F.col("lcp") > 0, F.struct("start", (F.col("start") + F.col("lcp")).alias("end")))))
-    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("upto"))
-    merge = lambda s, x: F.struct((s["sum"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], s["upto"]))).alias("sum"), F.greatest(s["upto"], x["end"]).alias("upto"))
-    per = spans.groupBy("sig", "side").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.count_if(F.col("first") & (F.col("lcp") > 0)).alias("shared"), ends.alias("ends"))
-    covered = F.aggregate("ends", zero, merge, lambda s: s["sum"])
-    return per.select("sig", "side", "n", "shared", F.round(covered / F.col("words"), 6).alias("cover"))
-
-
-def cross_split_overlaps(records: DataFrame, id_col: str = "row_id", instruction: str = "instruction", output: str = "output", split: str = "split", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Overlaps between train and held-out records: (rows, links, covered).
+def cross_split_overlaps(records: DataFrame, id_col: str = "row_id", instruction: str = "instruction", output: str = "output", split: str = "split", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Overlaps between train and held-out records: (rows, links).
 
     rows: row_id, side (0 train, 1 held out), sig (class of equal texts); one
     row per record of either side with at least three words.
-    links: sig_a, sig_b, similarity; one row per pair of alike classes (a class
-    with itself where both sides hold copies).
-    covered: sig, side, cover; for each class that has at least the threshold's
-    share of its triples on the other side, the share of its words that lies in
-    spans shared with that side.
-
-    Method: a suffix array.  Every suffix of the records that can have a partner
-    is partitioned by its first three words and sorted by those that follow; the
-    common prefix of neighbouring suffixes of different splits gives the spans
-    that a record shares with the other split, and these merge into its coverage.
-    Records that are covered enough go on: classes of different splits that stand
-    in one run of equal suffixes at their rarest triples are candidates, and the
-    similarity of each is checked exactly.
+    links: sig_a, sig_b, similarity, cover_a, cover_b, longest; one row per pair
+    of alike classes (a class with itself where both sides hold copies); cover is
+    the share of a text's words in spans shared with the other, longest the words
+    of the longest common prefix by which the pair was found.
+
+    Method: a sparse suffix array.  The suffixes that begin at a record's rarest
+    triples (of which alike records always share one) are partitioned by their
+    first three words and sorted by those that follow.  Suffixes of different
+    splits in one run of common prefixes reveal a shared span, its length being
+    their longest common prefix; the pairs so found are compared in full, their
+    common spans merge into coverage, and their similarity is checked exactly.
+    A full array is out of reach: see README.
 
     Null splits and other names belong to no side.  Null or empty texts overlap
     nothing.  Copies are compared once, as a class.
     """
-    t = Fraction(str(threshold))
     rows = records.select(F.col(id_col).cast("bigint").alias("row_id"), pair_text(instruction, output).alias("text"), split_side(split).alias("side"))
     rows = rows.filter("row_id is not null and side is not null")
     signs, parts, bits = scan(rows)
-    array = suffixes(rows, sketch_of(parts, bits, True), threshold).dropDuplicates(["gram", "salt", "sig", "side", "start"])
-    spans = staged(common_prefixes(array), "suffix-array")
-    enough = F.col("shared") * t.denominator >= F.col("n") * t.numerator
-    covered = staged(coverage(spans).filter(enough).select("sig", "side", "cover"), "coverage")
-    seeds = spans.filter("pos is not null and lcp > 0").join(covered.select("sig", "side"), ["sig", "side"], "left_semi")
+    array = suffixes(rows, sketch_of(parts, bits, True), threshold)
     match = lambda a, b: (a("side") != b("side")) & may_match(a, b, threshold)
-    met = meetings(seeds.select("gram", "t0", "t1", "t2", "sig", "side", "n", "pos", "p0", "p1", "hot"), ["gram"], ["t0", "t1", "t2", "sig", "side", "n", "pos", "p0", "p1"], match, "suffix-runs", ["gram", "sig", "side"])
+    met = meetings(array, ["gram"], ["tail", "sig", "side", "start", "n", "pos", "p0", "p1"], match, "suffix-runs", ["gram", "sig", "side"])
     x, y = F.col("a.sig"), F.col("b.sig")
-    pairs = met.filter(x != y).select(F.least(x, y).alias("sig_a"), F.greatest(x, y).alias("sig_b")).distinct()
-    near = verify(rows, signs, pairs, threshold, "overlaps")
+    pairs = met.filter(x != y).groupBy(F.least(x, y).alias("sig_a"), F.greatest(x, y).alias("sig_b")).agg(F.max(common_prefix(F.col("a.tail"), F.col("b.tail"))).alias("longest"))
+    pairs = staged(pairs, "span-pairs")
+    near = verify(rows, signs, pairs.select("sig_a", "sig_b"), threshold, "overlaps", coverage=True).join(pairs, ["sig_a", "sig_b"])
     held = signs.filter("n > 0")
-    same = held.groupBy("sig").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo <> hi")
-    exact = same.select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b"), F.lit(1.0).alias("similarity"))
-    return held.select("row_id", "side", "sig"), near.unionByName(exact), covered
+    same = held.groupBy("sig").agg(F.min("side").alias("lo"), F.max("side").alias("hi"), F.first("n").alias("n")).filter("lo <> hi")
+    one = F.lit(1.0)
+    exact = same.select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b"), one.alias("similarity"), one.alias("cover_a"), one.alias("cover_b"), (F.col("n") + 2).alias("longest"))
+    return held.select("row_id", "side", "sig"), near.unionByName(exact)
 
 
 def overlap_pairs(rows: DataFrame, links: DataFrame, block: int = 256) -> DataFrame:
@@ -210,12 +139,14 @@ def overlap_pairs(rows: DataFrame, links: DataFrame, block: int = 256) -> DataFr
 
 
 def overlap_report(records: DataFrame, source: str = "source") -> DataFrame:
-    """Held-out and train rows with an overlap, counted per split and source, with the mean of their coverage by the other split."""
-    rows, links, covered = cross_split_overlaps(records)
-    either = links.select(F.col("sig_a").alias("sig"), F.col("sig_b").alias("other")).unionByName(links.select(F.col("sig_b").alias("sig"), F.col("sig_a").alias("other")))
+    """Held-out and train rows with an overlap, counted per split and source, with the mean of their best coverage."""
+    rows, links = cross_split_overlaps(records)
+    links = staged(links, "overlap-links")
+    a = links.select(F.col("sig_a").alias("sig"), F.col("sig_b").alias("other"), F.col("cover_a").alias("cover"))
+    b = links.filter("sig_a <> sig_b").select(F.col("sig_b").alias("sig"), F.col("sig_a").alias("other"), F.col("cover_b").alias("cover"))
     sides = rows.select(F.col("sig").alias("other"), F.col("side").alias("facing")).distinct()
-    linked = either.join(sides, "other").select("sig", (1 - F.col("facing")).alias("side")).distinct()
-    hit = rows.join(linked, ["sig", "side"]).join(covered, ["sig", "side"], "left").select("row_id", F.coalesce("cover", F.lit(1.0)).alias("cover"))
+    best = a.unionByName(b).join(sides, "other").groupBy("sig", (1 - F.col("facing")).alias("side")).agg(F.max("cover").alias("cover"))
+    hit = rows.join(best, ["sig", "side"]).select("row_id", "cover")
     names = records.select(F.col("row_id"), F.lower(F.trim("split")).alias("split"), F.col(source).alias("source"))
     return (
         names.join(hit, "row_id")

@@ -64,7 +64,7 @@ def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap_pairs(*cross_split_overlaps(table(spark, sf_dir, "eval_raw"))[:2])
+    return overlap_pairs(*cross_split_overlaps(table(spark, sf_dir, "eval_raw")))
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def p7_removed_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected rows with their kind and the share of their words in paragraphs of earlier deliveries."""
-    return replay(table(spark, sf_dir, "eval_raw"), table(spark, sf_dir, "generation_stats")).select("row_id", "kind", "coverage")
+    return replay(table(spark, sf_dir, "eval_raw"), table(spark, sf_dir, "generation_stats"), covered=True).select("row_id", "kind", "coverage")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
