@@ -79,32 +79,37 @@ PARAMETERS = [
 ]
 ACTIONS = sorted({p[0] for p in PARAMETERS})
 
-#: action -> command with {required} and [optional {parts}]; a part is left out where its parameter is missing
+#: action -> commands.  {p}: parameter, required; {p|x}: with a default; [p: ...]: only if p is given and not false;
+#: [p=true: ...]: unless p is false.  ``each p``: a command per entry of a map (key, value); ``if p``: only if p is given;
+#: ``log``: a message; ``vm``: a call of the machine interface.
 COMMANDS = {
-    "oneke.namespace.create": "kubectl create namespace {name}",
-    "oneke.namespace.delete": "kubectl delete namespace {name} --ignore-not-found",
-    "oneke.namespace.list": "kubectl get namespaces[ -l {label_selector}]",
-    "oneke.app.deploy": "helm install {release_name} {chart} --namespace {namespace}[ --version {version}]",
-    "oneke.app.uninstall": "helm uninstall {release_name} --namespace {namespace}",
-    "oneke.app.upgrade": "helm upgrade {release_name} {chart} --namespace {namespace}[ --version {version}] --wait",
-    "oneke.app.list": "helm list[ --namespace {namespace}]",
-    "oneke.app.wait_ready": "kubectl wait --for=condition=ready pod -l {label_selector} -n {namespace}[ --timeout={timeout_seconds}s]",
-    "oneke.app.get_status": "helm status {release_name} --namespace {namespace}",
-    "oneke.service.get_endpoint": "kubectl get svc {service_name} -n {namespace}",
-    "oneke.service.expose": "kubectl expose deployment {deployment_name} -n {namespace} --port={port}[ --target-port={target_port}][ --name={service_name}]",
-    "oneke.service.list": "kubectl get svc[ -n {namespace}]",
-    "oneke.storage.create_pvc": "kubectl apply pvc {name} -n {namespace} --size={size}[ --class={storage_class}]",
-    "oneke.storage.list_pvcs": "kubectl get pvc[ -n {namespace}]",
-    "oneke.storage.delete_pvc": "kubectl delete pvc {name} -n {namespace} --ignore-not-found",
-    "oneke.cluster.get_info": "kubectl cluster-info",
-    "oneke.cluster.get_status": "kubectl get nodes -o wide",
-    "oneke.cluster.list_nodes": "kubectl get nodes -o wide[ -l {role}]",
-    "oneke.cluster.scale_nodes": "oneflow scale[ {cluster_name}] worker {worker_count}",
-    "one.vm.create": "onevm create {template_id} --name {name}",
-    "one.vm.delete": "onevm terminate --hard {vm_id}",
-    "one.vm.poweroff": "onevm poweroff {vm_id}",
-    "one.vm.resume": "onevm resume {vm_id}",
-    "one.vm.list": "onevm list",
+    "oneke.namespace.create": ["kubectl create namespace {name}", "each labels: kubectl label namespace {name} {key}={value}", "each annotations: kubectl annotate namespace {name} {key}={value}"],
+    "oneke.namespace.delete": ["kubectl delete namespace {name} --ignore-not-found"],
+    "oneke.namespace.list": ["kubectl get namespaces [label_selector: -l {label_selector}]"],
+    "oneke.app.deploy": [
+        "if repo_url: helm repo add {repo_name} {repo_url}", "if repo_url: helm repo update",
+        "helm install {release_name} {chart} --namespace {namespace} [create_namespace=true: --create-namespace] [version: --version {version}] [wait=true: --wait --timeout {timeout}s] [values: -f {values}]",
+    ],
+    "oneke.app.uninstall": ["helm uninstall {release_name} --namespace {namespace} [keep_history: --keep-history]"],
+    "oneke.app.upgrade": ["helm upgrade {release_name} {chart} --namespace {namespace} [version: --version {version}] [reuse_values=true: --reuse-values] --wait [values: -f {values}]"],
+    "oneke.app.list": ["helm list [namespace: --namespace {namespace}] [!namespace: --all-namespaces]"],
+    "oneke.app.wait_ready": ["log Waiting for pods to be ready (timeout: {timeout_seconds|300}s)...", "kubectl wait --for=condition=ready pod -l {label_selector} -n {namespace} --timeout={timeout_seconds|300}s"],
+    "oneke.app.get_status": ["helm status {release_name} --namespace {namespace}"],
+    "oneke.service.get_endpoint": ["kubectl get svc {service_name} -n {namespace} -o jsonpath={.status.loadBalancer.ingress[0].ip}"],
+    "oneke.service.expose": ["kubectl expose deployment {deployment_name} --port={port} [target_port: --target-port={target_port}] --type={service_type|ClusterIP} -n {namespace} [service_name: --name={service_name}]"],
+    "oneke.service.list": ["kubectl get svc [namespace: -n {namespace}] [!namespace: --all-namespaces]"],
+    "oneke.storage.create_pvc": ["kubectl apply -f {manifest}"],
+    "oneke.storage.list_pvcs": ["kubectl get pvc [namespace: -n {namespace}] [!namespace: --all-namespaces]"],
+    "oneke.storage.delete_pvc": ["kubectl delete pvc {name} -n {namespace} --ignore-not-found"],
+    "oneke.cluster.get_info": ["kubectl cluster-info"],
+    "oneke.cluster.get_status": ["kubectl get nodes -o wide", "kubectl get pods --all-namespaces --field-selector=status.phase!=Running"],
+    "oneke.cluster.list_nodes": ["kubectl get nodes -o wide [role: -l node-role.kubernetes.io/{role}]"],
+    "oneke.cluster.scale_nodes": ["log Scaling workers to {worker_count} nodes via OneFlow...", "oneflow scale {cluster_name|default} worker {worker_count}"],
+    "one.vm.create": ["vm allocate {template}"],
+    "one.vm.delete": ["vm terminate-hard {vm_id}"],
+    "one.vm.poweroff": ["vm poweroff {vm_id}"],
+    "one.vm.resume": ["vm resume {vm_id}"],
+    "one.vm.list": ["vm list"],
 }
 DESTRUCTIVE = ["oneke.namespace.delete", "one.vm.delete", "oneke.app.uninstall"]
 RISKS = ["low", "medium", "high", "critical"]

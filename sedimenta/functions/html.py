@@ -13,15 +13,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import slug_title, strip
 
-# Places of the main text, in order of preference, and what is dropped inside it.
+# Places of the main text in order of preference, what is dropped inside it, places of the trail, endings of files.
 ROOTS = ["div.td-content", "article.td-article", "div.document", "div[role=main]", "main", "article", "div.body", "div.rst-content"]
-DROPPED = ["nav", "div.sidebar", "div.sphinxsidebar", "div.related", "div.footer", "div.header", "script", "style", "a.headerlink", "div.toctree-wrapper", "div.td-toc", "div.page-meta", "div.taxonomy-terms", "a.td-heading-self-link", "div.td-page-meta"]
-TRAILS = ["nav.breadcrumb", "ol.breadcrumb", "ul.breadcrumb", "div.breadcrumb", "ul.wy-breadcrumbs"]
-SKIPPED_ENDINGS = (".pdf", ".zip", ".tar", ".gz", ".tgz", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".css", ".js", ".xml", ".json")
+DROPPED = ["nav", "div.sidebar", "div.sphinxsidebar", "div.related", "div.footer", "div.header", "script", "style", "a.headerlink", "div.toctree-wrapper", "div.td-toc", "div.page-meta", "div.taxonomy-terms", "a.td-heading-self-link", "div.td-max-width-on-larger-screens.td-page-meta"]
+TRAILS = ["nav.td-breadcrumbs", "ol.breadcrumb", "ul.wy-breadcrumbs", "div.related", "nav.breadcrumb"]
+SKIPPED_ENDINGS = (".png", ".jpg", ".jpeg", ".gif", ".svg", ".pdf", ".zip", ".tar", ".gz", ".css", ".js", ".xml", ".json", ".yaml", ".yml")
+INLINE_TAGS = ("strong", "b", "em", "i", "a", "span", "code", "mark", "abbr", "cite", "dfn", "kbd", "samp", "var")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _BLOCK = {"p", "div", "section", "article", "ul", "ol", "table", "blockquote", "main", "body", "header", "footer", "aside", "nav", "dl"}
-_INLINE = {"a", "b", "strong", "em", "i", "span", "kbd", "sup", "sub", "u", "mark"}
+#: What stands before and after the text of a tag; tags not named add nothing.
+_AROUND = {"p": ("\n\n", ""), "div": ("\n", ""), "li": ("\n- ", ""), "table": ("\n", "\n"), "tr": ("\n", ""), "td": (" | ", ""), "th": (" | ", ""), "dl": ("\n", ""), "dt": ("\n**", "**: "), "dd": ("", "\n")}
+_AROUND |= dict.fromkeys(INLINE_TAGS, (" ", " "))
 
 
 class Node:
@@ -31,9 +34,9 @@ class Node:
         self.tag, self.attrs, self.items = tag, attrs or {}, []
 
     def fits(self, selector: str) -> bool:
-        m = re.match(r"^(\w+)(?:\.([\w-]+))?(?:\[(\w+)=(\w+)\])?$", selector)
-        tag, cls, key, value = m.groups()
-        return self.tag == tag and (not cls or cls in self.attrs.get("class", "").split()) and (not key or self.attrs.get(key) == value)
+        tag, classes, key, value = re.match(r"^(\w+)((?:\.[\w-]+)*)(?:\[(\w+)=(\w+)\])?$", selector).groups()
+        own = self.attrs.get("class", "").split()
+        return self.tag == tag and all(c in own for c in classes.split(".")[1:]) and (not key or self.attrs.get(key) == value)
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -96,25 +99,23 @@ def _prune(node: Node) -> None:
 def _render(root: Node) -> str:
     """Text with marks for headings, code, items and cells; an explicit stack keeps deep trees safe."""
     out: list[str] = []
-    stack: list[Node | str | tuple[str]] = [root]
+    stack: list[Node | str | tuple[str]] = list(reversed(root.items))
     while stack:
         x = stack.pop()
         if isinstance(x, tuple):
             out.append(x[0])
         elif isinstance(x, str):
-            out.append(re.sub(r"\s+", " ", x))
-        elif re.fullmatch(r"h[1-6]", x.tag):
-            title = " ".join(x.text().split())
-            out.append(f"\n\n{'#' * int(x.tag[1])} {title}\n\n" if title else "")
+            out.append(re.sub(r"\s+", " ", x) if x.strip() else "")
+        elif re.fullmatch(r"h[1-4]", x.tag):
+            out.append(f"\n\n{'#' * int(x.tag[1])} {_title(x)}\n")
         elif x.tag == "pre":
-            body = x.text().strip("\n")
-            out.append(f"\n\n```\n{body}\n```\n\n" if body.strip() else "")
+            out.append(f"\n```\n{x.text().strip()}\n```\n")
         elif x.tag == "code":
-            out.append(f" `{x.text()}` " if x.text().strip() else "")
+            out.append(f" `{_joined(x)}` ")
         elif x.tag == "br":
             out.append("\n")
         else:
-            before, after = {"li": ("\n- ", ""), "tr": ("\n", "\n"), "td": ("", " | "), "th": ("", " | "), "dt": ("\n**", "**:"), "dd": (" ", "\n")}.get(x.tag, ("\n\n", "\n\n") if x.tag in _BLOCK else (" ", " ") if x.tag in _INLINE else ("", ""))
+            before, after = _AROUND.get(x.tag, ("", ""))
             stack.append((after,))
             stack += reversed(x.items)
             stack.append((before,))
@@ -123,6 +124,19 @@ def _render(root: Node) -> str:
     return re.sub(r" ([.,;:!?)])", r"\1", text).strip()
 
 
+def _texts(node: Node) -> list[str]:
+    """The stripped texts inside a node that aren't blank."""
+    return [t for n in node.walk() for x in n.items if isinstance(x, str) and (t := x.strip())] if all(isinstance(x, str) for x in node.items) else [t for x in node.text("\0").split("\0") if (t := x.strip())]
+
+
+def _title(node: Node) -> str:
+    return " ".join(_texts(node))
+
+
+def _joined(node: Node) -> str:
+    return "".join(_texts(node))
+
+
 def extract(html: str | None) -> dict[str, object]:
     """content, code_blocks, headings and breadcrumb of a page."""
     tree = parse(html)
@@ -132,16 +146,15 @@ def extract(html: str | None) -> dict[str, object]:
     left = list(tree.walk())
     crumbs: list[str] = []
     for s in TRAILS:
-        hits = [n for n in left if n.fits(s)]
-        if hits:
-            crumbs = [" ".join(n.text().split()) for n in hits[0].walk() if n.tag in ("a", "li")]
-            crumbs = list(dict.fromkeys(c for c in crumbs if c))
+        items = [n for place in left if place.fits(s) for n in place.walk() if n.tag == "li"]
+        if items:
+            crumbs = [t for n in dict.fromkeys(items) if (t := _joined(n))]
             break
     inside = list(root.walk())
     return {
         "content": _render(root),
         "code_blocks": [n.text().strip() for n in inside if n.tag == "pre" and n.text().strip()],
-        "headings": [t for n in inside if re.fullmatch(r"h[1-4]", n.tag) and (t := " ".join(n.text().split()))],
+        "headings": [t for n in inside if re.fullmatch(r"h[1-4]", n.tag) and (t := _joined(n))],
         "breadcrumb": crumbs,
     }
 
@@ -156,17 +169,24 @@ def clean_url(href: str, base: str) -> str:
     return urlunsplit((parts.scheme, parts.netloc, path, parts.query, ""))
 
 
-def page_links(html: str | None, base: str) -> list[str]:
-    """Distinct cleaned links of a page, in alphabetical order."""
+def is_document(url: str, base: str) -> bool:
+    """Same host as base, path beginning with the base path (no boundary is asked for), no ending of a non-document."""
+    own, of = urlsplit(url), urlsplit(base)
+    path = own.path.rstrip("/")
+    return own.netloc == of.netloc and path.startswith(of.path.rstrip("/")) and not path.endswith(SKIPPED_ENDINGS)
+
+
+def page_links(html: str | None, page: str, base: str | None = None) -> list[str]:
+    """Distinct cleaned links of a page, in alphabetical order; with ``base`` only those to documents of that section."""
     hrefs = [n.attrs.get("href", "") for n in parse(html).walk() if n.tag == "a"]
     kept = [h for h in hrefs if h and not h.startswith(("#", "javascript:", "mailto:"))]
     out = set()
     for h in kept:
         try:
-            out.add(clean_url(h, base))
+            out.add(clean_url(h, page))
         except ValueError:
             continue
-    return sorted(out)
+    return sorted(u for u in out if base is None or is_document(u, base))
 
 
 def is_doc_link(url: Column, base: Column) -> Column:
@@ -183,15 +203,20 @@ def is_doc_link(url: Column, base: Column) -> Column:
 PAGE = "url string, content string, code_blocks array<string>, headings array<string>, breadcrumb array<string>, links array<string>"
 
 
-def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """pages(url, html) -> url, content, code_blocks, headings, breadcrumb, links; a null page gives empty values."""
+def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", base: str | None = None) -> DataFrame:
+    """pages(url, html[, base]) -> url, content, code_blocks, headings, breadcrumb, links; a null page gives empty values.
+
+    With ``base``, a column of section urls, links to anything but documents of
+    the section are left out.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [{"url": u, **extract(h), "links": page_links(h, u or "")} for u, h in zip(pdf["url"], pdf["html"])]
+            rows = [{"url": u, **extract(h), "links": page_links(h, u or "", b)} for u, h, b in zip(pdf["url"], pdf["html"], pdf["base"])]
             yield pd.DataFrame(rows, columns=["url", "content", "code_blocks", "headings", "breadcrumb", "links"])
 
-    return pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(run, PAGE)
+    section = F.col(base) if base else F.lit(None).cast("string")
+    return pages.select(F.col(url).alias("url"), F.col(html).alias("html"), section.alias("base")).mapInPandas(run, PAGE)
 
 
 def scraped_pages(extracted: DataFrame, least: int = 50) -> DataFrame:

@@ -140,12 +140,13 @@ def chunk_text(content: str, title: str | None, target: int = TARGET, overlap: i
     """(text, path) of a page's chunks: sections, split deeper or packed where too large, small ones merged, overlapped."""
     cuts: list[tuple[str, list[str]]] = []
     for h2, body in _by_heading(content, 2):
-        whole = body if h2 is None else f"## {h2}\n\n{body}"
+        whole = f"## {h2}\n{body}" if h2 else body
         if _tokens(whole) <= target:
             cuts.append((whole, [x for x in (title, h2) if x]))
             continue
         for h3, part in _by_heading(body, 3):
             path = [x for x in (title, h2, h3) if x]
+            part = f"### {h3}\n{part}" if h3 else part
             if _tokens(part) <= target:
                 cuts.append((part, path))
                 continue

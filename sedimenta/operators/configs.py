@@ -7,7 +7,6 @@ rule after that is a Catalyst expression over it.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ..functions.actions import ACTIONS, CHECKS, COMMANDS, DESTRUCTIVE, ON_FAILURE, PARAMETERS, RISKS
+from ..functions.actions import ACTIONS, CHECKS, DESTRUCTIVE, ON_FAILURE, PARAMETERS, RISKS
 from ..functions.text import drop_fence_lines, strip_fence
 from ..plans.staging import spread, staged
 
@@ -25,9 +24,11 @@ _Loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 SCHEMA_KEYS = ("metadata:", "steps:", "error:", "version:", "validation:", "rollback:")
 
 STEP = "struct<id:string,action:string,description:string,params:map<string,string>,depends_on:array<string>,on_failure:string,timeout_seconds:string,retry_count:string>"
+CHECK = "struct<type:string,target:string,namespace:string,label_selector:string,expected_count:string,service_name:string>"
 CONFIG = (
     "parsed boolean, mapping boolean, version string, description string, risk_level string, tags array<string>, "
-    f"steps array<{STEP}>, pre_checks array<string>, post_checks array<string>, rollback_steps array<{STEP}>, is_error boolean, error_reason string"
+    f"steps array<{STEP}>, pre_checks array<{CHECK}>, post_checks array<{CHECK}>, rollback_steps array<{STEP}>, is_error boolean, error_reason string, "
+    "error_suggestion string, target_cluster string, estimated_duration string"
 )
 
 
@@ -58,10 +59,15 @@ def _step(x) -> dict:
     }
 
 
+def _check(x) -> dict:
+    x = x if isinstance(x, dict) else {}
+    return {k: _scalar(x.get(k)) for k in ("type", "target", "namespace", "label_selector", "expected_count", "service_name")}
+
+
 def flatten(text: str | None) -> dict:
     """One configuration as a flat record of CONFIG."""
     ok, data = load(text)
-    out = {k: None for k in ("parsed", "mapping", "version", "description", "risk_level", "tags", "steps", "pre_checks", "post_checks", "rollback_steps", "is_error", "error_reason")}
+    out = {k: None for k in ("parsed", "mapping", "version", "description", "risk_level", "tags", "steps", "pre_checks", "post_checks", "rollback_steps", "is_error", "error_reason", "error_suggestion", "target_cluster", "estimated_duration")}
     out |= {"parsed": ok, "mapping": isinstance(data, dict), "is_error": False}
     if isinstance(data, dict):
         part = lambda k: data.get(k) if isinstance(data.get(k), dict) else {}
@@ -71,9 +77,9 @@ def flatten(text: str | None) -> dict:
             "version": _scalar(data.get("version")), "description": _scalar(meta.get("description")), "risk_level": _scalar(meta.get("risk_level")),
             "tags": [_scalar(t) for t in listed(meta.get("tags"))],
             "steps": [_step(s) for s in listed(data.get("steps"))], "rollback_steps": [_step(s) for s in listed(part("rollback").get("steps"))],
-            "pre_checks": [_scalar(c.get("type")) if isinstance(c, dict) else None for c in listed(checks.get("pre_checks"))],
-            "post_checks": [_scalar(c.get("type")) if isinstance(c, dict) else None for c in listed(checks.get("post_checks"))],
-            "is_error": isinstance(data.get("error"), dict), "error_reason": _scalar(part("error").get("reason")),
+            "pre_checks": [_check(c) for c in listed(checks.get("pre_checks"))], "post_checks": [_check(c) for c in listed(checks.get("post_checks"))],
+            "is_error": isinstance(data.get("error"), dict), "error_reason": _scalar(part("error").get("reason")), "error_suggestion": _scalar(part("error").get("suggestion")),
+            "target_cluster": _scalar(meta.get("target_cluster")), "estimated_duration": _scalar(meta.get("estimated_duration")),
         }
     return out
 
@@ -190,7 +196,7 @@ def structure_errors() -> Column:
         bad(F.exists(steps, lambda s: s["on_failure"].isNotNull() & ~s["on_failure"].isin(ON_FAILURE)), "failure strategy"),
         bad(F.exists(steps, lambda s: s["timeout_seconds"].isNotNull() & ~F.coalesce(number(s["timeout_seconds"]).between(1, 3600), F.lit(False))), "timeout"),
         bad(F.exists(steps, lambda s: s["retry_count"].isNotNull() & ~F.coalesce(number(s["retry_count"]).between(0, 5), F.lit(False))), "retries"),
-        bad(F.exists(F.concat(F.coalesce(c("pre_checks"), F.array().cast("array<string>")), F.coalesce(c("post_checks"), F.array().cast("array<string>"))), lambda t: ~F.coalesce(t.isin(CHECKS), F.lit(False))), "check type"),
+        bad(F.exists(F.concat(F.coalesce(c("pre_checks"), F.array().cast(f"array<{CHECK}>")), F.coalesce(c("post_checks"), F.array().cast(f"array<{CHECK}>"))), lambda t: ~F.coalesce(t["type"].isin(CHECKS), F.lit(False))), "check type"),
         bad(F.exists(steps, lambda s: F.size(F.array_except(s["depends_on"], ids)) > 0), "missing dependency"),
         bad(F.exists(steps, lambda s: F.array_contains(s["depends_on"], s["id"])), "self dependency"),
         bad(has_cycle(steps), "cycle"),
@@ -241,34 +247,48 @@ def missing_dependencies(steps: DataFrame, key: str, step: str = "step_id", deps
     return edges.join(known, [key, "dep"], "left_anti").select(key, step, "dep").unionByName(edges.filter(F.col(step) == F.col("dep")))
 
 
-def render(action: Column, params: Column) -> Column:
-    """The command of a step from its template; null for an action without one or without a required parameter."""
-    out = F.lit(None).cast("string")
-    for a, template in COMMANDS.items():
-        parts = []
-        for optional, plain in re.findall(r"\[([^\]]*)\]|([^\[]+)", template):
-            bits = [F.try_element_at(params, F.lit(x[1:-1])) if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", optional or plain) if x]
-            parts.append(F.coalesce(F.concat(*bits), F.lit("")) if optional else F.concat(*bits))
-        out = F.when(action == a, F.concat(*parts)).otherwise(out)
-    return out
+def _plain(data):
+    """A parsed document without null values, keys in order."""
+    if isinstance(data, dict):
+        return {str(k): _plain(v) for k, v in data.items() if v is not None}
+    return [_plain(v) for v in data] if isinstance(data, list) else data
+
+
+def to_yaml(text: str | None) -> str | None:
+    """A configuration (YAML or JSON text) written anew: nulls dropped, order kept; null where it isn't a mapping."""
+    ok, data = load(text)
+    return yaml.dump(_plain(data), default_flow_style=False, sort_keys=False, allow_unicode=True) if ok and isinstance(data, dict) else None
+
+
+def as_yaml(text: Column) -> Column:
+    """to_yaml over a column, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def write(t: pd.Series) -> pd.Series:
+        return pd.Series([to_yaml(x) for x in t], dtype="object")
 
+    return write(text)
 
-def render_steps(parsed: DataFrame, key: str = "row_id") -> DataFrame:
-    """key, pos, id, action, command for every step, in list order; a warning line where no command can be rendered."""
-    s = parsed.select(key, F.posexplode("steps").alias("pos", "s"))
-    return s.select(key, "pos", F.col("s.id").alias("id"), F.col("s.action").alias("action"), F.coalesce(render(F.col("s.action"), F.col("s.params")), F.concat(F.lit("# WARN: no command for "), F.coalesce("s.action", F.lit("null")))).alias("command"))
 
+def normalize_outputs(rows: DataFrame, key: str, payload: str) -> DataFrame:
+    """key, instruction, output of JSON objects with both fields: an output that is an object becomes YAML, other kinds but text are dropped."""
+    doc = rows.select(key, F.try_parse_json(payload).alias("v"))
+    part = doc.select(key, F.expr("try_variant_get(v, '$.instruction', 'string')").alias("instruction"), F.expr("try_variant_get(v, '$.output')").alias("o"))
+    kind = F.schema_of_variant("o")
+    text = F.when(kind == "STRING", F.expr("try_variant_get(o, '$', 'string')")).when(kind.startswith("OBJECT"), as_yaml(F.to_json("o")))
+    return part.filter(F.col("instruction").isNotNull() & F.col("o").isNotNull()).select(key, "instruction", text.alias("output")).filter("output is not null")
 
-def scripts(parsed: DataFrame, key: str = "row_id") -> DataFrame:
-    """key, script: the commands of a configuration as one text; an error configuration gives a line that says so."""
-    lines = render_steps(parsed, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("# "), F.col("id"), F.lit("\n"), F.col("command")).alias("line")))).alias("l"))
-    body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
-    failed = F.concat(F.lit("echo "), F.coalesce("error_reason", F.lit("")), F.lit("\nexit 1"))
-    return parsed.select(key, "is_error", "error_reason").join(lines, key, "left").select(key, F.concat(F.lit("#!/bin/sh\n"), F.when(F.col("is_error"), failed).otherwise(F.coalesce(body, F.lit("")))).alias("script"))
 
+def schema_filter(rows: DataFrame, key: str = "row_id", instruction: str = "instruction", text: str = "output") -> tuple[DataFrame, DataFrame]:
+    """(kept, rejects): rows whose output is a valid configuration, and key, instruction[:80], error[:200] of the others."""
+    judged = staged(validate(rows, key, text).select(key, "is_valid", "errors"), "judged")
+    kept = rows.join(judged.filter("is_valid").select(key), key, "left_semi")
+    bad = rows.select(key, instruction).join(judged.filter("not is_valid"), key)
+    said = F.array_join(F.transform("errors", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    return kept, bad.select(key, F.substring(F.coalesce(F.col(instruction), F.lit("")), 1, 80).alias("instruction"), F.substring(said, 1, 200).alias("error"))
 
-def requirement_flags(parsed: DataFrame, key: str = "row_id") -> DataFrame:
-    """key, needs_vm, needs_app, needs_cluster: by the actions of the steps."""
-    has = lambda f: F.coalesce(F.exists("steps", lambda s: f(s["action"])), F.lit(False))
-    return parsed.select(key, has(lambda a: a.startswith("one.vm.")).alias("needs_vm"), has(lambda a: a.contains("app.")).alias("needs_app"), has(lambda a: a.startswith("oneke.")).alias("needs_cluster"))
 
+def schema_eval(rows: DataFrame, key: str = "row_id", text: str = "output") -> DataFrame:
+    """key, yaml_ok, schema_ok, n_errors: both flags of each row, each found on its own."""
+    parsed = yaml_parseable(rows, key, text).withColumnRenamed("parsed", "yaml_ok")
+    return parsed.join(validate(rows, key, text).select(key, F.col("is_valid").alias("schema_ok"), F.size("errors").alias("n_errors")), key)

@@ -101,8 +101,29 @@ def generation_summary(stats: DataFrame) -> DataFrame:
     return stats.groupBy("source").agg(
         F.count(F.lit(1)).alias("batches"), total.alias("generated"), F.sum("schema_valid").alias("valid"),
         F.round(F.sum("schema_valid") / F.greatest(total, F.lit(1)) * 100, 4).alias("valid_pct"),
-        F.sum("api_calls").alias("calls"), F.sum("api_errors").alias("errors"),
+        F.sum("api_calls").alias("calls"), F.sum("api_errors").alias("errors"), F.round(F.sum(F.coalesce("api_cost_estimate_usd", F.lit(0.0))), 6).alias("cost"),
     )
 
 
+def token_cost(tokens_in: Column, tokens_out: Column) -> Column:
+    """Dollars of a request by its tokens, at the rates of a small hosted model."""
+    return (tokens_in * F.lit(0.15) + tokens_out * F.lit(0.60)) / F.lit(1e6)
+
+
+def union_tagged(parts: dict[str, DataFrame], columns: list[str], tag: str = "origin") -> DataFrame:
+    """All parts one under the other, each row tagged with the name of its part."""
+    out = None
+    for name, df in parts.items():
+        own = df.select(*columns).withColumn(tag, F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def training_parts(split: DataFrame, seeds: DataFrame, columns: list[str], seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, eval): the eval part as it is, and the rest with all seeds, each in a seeded order by hash."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c) for c in columns])
+    train = split.filter("part = 'train'").select(*columns).unionByName(seeds.select(*columns)).orderBy(F.sha2(text, 256))
+    return train, split.filter("part = 'eval'").select(*columns).orderBy(F.sha2(text, 256))
+
+
 __all__ = ["dataset_stats", "formattable", "generation_summary", "has_fields", "length_reason", "quality_report", "reject_reasons", "token_estimate", "train_eval_split"]

@@ -82,11 +82,69 @@ def head_to_head(a_name: Column, a_score: Column, a_seconds: Column, b_name: Col
     )
 
 
+#: Metrics of a backend's result, in the order of the table; of the last two less is better.
+METRICS = ("quality", "schema_valid", "steps", "rollback", "pre_checks", "post_checks", "attempts", "seconds")
+LESS_IS_BETTER = ("attempts", "seconds")
+
+
+def backend_scores(results: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and METRICS of results(keys, success, attempts, seconds, n_steps, n_rollback, n_pre, n_post); a failed result scores nothing but its attempts and time."""
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    some = lambda c: ok & (F.coalesce(F.col(c), F.lit(0)) > 0)
+    flags = [ok.alias("schema_valid"), F.when(ok, F.coalesce("n_steps", F.lit(0))).otherwise(0).alias("steps"), some("n_rollback").alias("rollback"), some("n_pre").alias("pre_checks"), some("n_post").alias("post_checks")]
+    quality = F.when(ok, sum((some(c).cast("int") for c in ("n_steps", "n_rollback", "n_pre", "n_post")), F.lit(1))).otherwise(0)
+    return results.select(*keys, quality.alias("quality"), *flags, "attempts", "seconds")
+
+
+def evaluate_prompts(answers: DataFrame, key: str = "item_id") -> DataFrame:
+    """Judged answers(key, category, difficulty, expected_actions, expect_error, output, is_valid, actions, is_error, error) -> a result row each.
+
+    Passed: valid, and the actions as expected (some, unless an error is).
+    A request that raised counts as failed; error and output are cut to 200 and
+    500 characters.
+    """
+    n = F.size(F.coalesce("actions", F.array().cast("array<string>")))
+    right = actions_covered(F.col("expected_actions"), F.col("actions"), F.col("expect_error"), F.col("is_error"))
+    wants_error = F.coalesce("expect_error", F.lit(False))
+    passed = F.coalesce("is_valid", F.lit(False)) & right & (wants_error | (n > 0))
+    text = lambda c, k: F.substring(F.coalesce(F.col(c), F.lit("")), 1, k)
+    return answers.select(key, "category", "difficulty", passed.alias("passed"), (F.coalesce("output", F.lit("")) != "").alias("has_output"), right.alias("right_actions"), n.alias("n_actions"), text("error", 200).alias("error"), text("output", 500).alias("output"))
+
+
+def failed_rows(results: DataFrame, key: str, prompt: str, reason: str, passed: str = "passed") -> DataFrame:
+    """key, prompt[:50], reason[:80] of what didn't pass."""
+    cut = lambda c, n: F.substring(F.coalesce(F.col(c), F.lit("")), 1, n)
+    return results.filter(~F.coalesce(F.col(passed), F.lit(False))).select(key, F.concat(cut(prompt, 50), F.lit("...")).alias("prompt"), cut(reason, 80).alias("reason"))
+
+
+def group_report(results: DataFrame, group: str, passed: str = "passed") -> DataFrame:
+    """group, bar, passed, total, pass_rate, sorted by name."""
+    by = results.groupBy(F.coalesce(group, F.lit("unknown")).alias(group)).agg(F.count_if(F.coalesce(F.col(passed), F.lit(False))).alias("passed"), F.count(F.lit(1)).alias("total"))
+    share = F.col("passed") / F.col("total")
+    full = F.floor(share * 10).cast("int")
+    return by.select(group, F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), 10 - full)).alias("bar"), "passed", "total", F.round(share, 6).alias("pass_rate")).orderBy(group)
+
+
+def row_means(rows: DataFrame, key: str, score: str = "score") -> DataFrame:
+    """key, avg_score: a judged row's mean over its dimensions, 0 where there are none."""
+    return rows.groupBy(key).agg(F.round(F.coalesce(F.avg(score), F.lit(0.0)), 6).alias("avg_score"))
+
+
+def evaluate_model(rows: DataFrame, answer, judge, key: str = "row_id", instruction: str = "instruction") -> DataFrame:
+    """Asks a callback for every instruction, judges the answers (judge(df, key, column) -> key, yaml_ok, schema_ok) and returns one row of rates."""
+    from ..functions.embedders import generate
+
+    made = generate(rows.select(key, instruction), answer, instruction, "generated", pause=0.0)
+    return compliance(judge(made, key, "generated"))
+
+
 def comparison_table(pair: DataFrame, key: str, metrics: list[str]) -> DataFrame:
-    """pair(key, a_<metric>, b_<metric>) -> key, metric, a, b, better: one row per metric."""
+    """pair(key, a_<metric>, b_<metric>) -> key, metric, a, b, better: one row per metric; of attempts and time less is better."""
     parts = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a_{m}").cast("double").alias("a"), F.col(f"b_{m}").cast("double").alias("b")) for m in metrics])
     rows = pair.select(key, F.explode(parts).alias("x")).select(key, "x.*")
-    return rows.withColumn("better", F.when(F.col("a") > F.col("b"), "a").when(F.col("b") > F.col("a"), "b").otherwise("equal"))
+    less = F.col("metric").isin(*LESS_IS_BETTER)
+    lead = F.when(less, F.col("b") - F.col("a")).otherwise(F.col("a") - F.col("b"))
+    return rows.withColumn("better", F.when(lead > 0, "a").when(lead < 0, "b").otherwise("equal"))
 
 
 def actions_covered(expected: Column, actual: Column, expect_error: Column, is_error: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -83,8 +85,10 @@ def _knn_block(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector:
             sims = np.round(m @ x.T, 6)
             sims[ids[:, None] == own[None, :]] = -np.inf
             take = min(k, sims.shape[1])
+            edge = np.partition(sims, sims.shape[1] - take, axis=1)[:, sims.shape[1] - take]
             for i, row in enumerate(sims):
-                at = np.lexsort((own, -row))[:take]
+                best = np.flatnonzero(row >= edge[i])  # the best and all that tie with the last of them
+                at = best[np.lexsort((own[best], -row[best]))[:take]]
                 at = at[np.isfinite(row[at])]
                 yield pd.DataFrame({"query_id": np.full(len(at), ids[i]), key: own[at], "score": row[at]})
 
@@ -112,6 +116,27 @@ def store_stats(chunks: DataFrame) -> DataFrame:
     return out
 
 
+def retriever(store: DataFrame, embedder, k: int = 6, section: str | None = None, code_only: bool = False, threshold: float | None = None, rescore: Callable[[str], Column] | None = None, key: str = "chunk_id") -> Callable[[str], DataFrame]:
+    """A function from a question to its best rows of store(key, content, section, has_code, embedding, ...), ranked.
+
+    With ``rescore`` three times k rows are fetched and put in the order of the
+    new score.  The question's vector has to be as long as those of the store.
+    """
+    where = F.lit(True)
+    if section is not None:
+        where = where & (F.col("section") == section)
+    if code_only:
+        where = where & F.col("has_code")
+
+    def search(question: str) -> DataFrame:
+        vector = [float(x) for x in embedder.embed_query(question)]
+        found = top_k(store, vector, 3 * k if rescore else k, key, where=where, threshold=threshold)
+        best = rerank(found, rescore(question), k, key) if rescore else found
+        return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
+
+    return search
+
+
 def previews(found: DataFrame, rank: str = "rank", content: str = "content", hierarchy: str = "heading_hierarchy") -> DataFrame:
     """Result rows as they are shown: rank, score with three decimals, heading, start of the text."""
     return found.select(

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import queries_chunks, queries_configs, queries_curation, queries_evaluation, queries_retrieval
+from . import queries_chunks, queries_configs, queries_curation, queries_evaluation, queries_prompts, queries_retrieval
 
-_MODULES = (queries_curation, queries_retrieval, queries_chunks, queries_configs, queries_evaluation)
+_MODULES = (queries_curation, queries_retrieval, queries_chunks, queries_configs, queries_evaluation, queries_prompts)
 
 
 def _prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import chunking as K
-from ..operators.crawl import crawl
+from ..operators.crawl import crawl, crawl_sections
 from ..session import table
 from .queries_retrieval import _TOKENS
 
@@ -75,22 +76,35 @@ def _overlaps(s, d):
 def _html(s, d):
     """Pages set as HTML (headings, items, paragraphs of their lines) and read back by the parser."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    lines = F.transform(F.split("content", "\n"), lambda x: F.when(x.startswith("# "), F.concat(F.lit("<h1>"), esc(F.substring(x, 3, 100_000)), F.lit("</h1>"))).when(x.startswith("- "), F.concat(F.lit("<li>"), esc(F.substring(x, 3, 100_000)), F.lit("</li>"))).otherwise(F.concat(F.lit("<p>"), esc(x), F.lit("</p>"))))
+    lines = F.transform(F.split("content", "\n"), lambda x: F.when(x.startswith("# "), F.concat(F.lit("<h1>"), esc(F.substr(x, F.lit(3))), F.lit("</h1>"))).when(x.startswith("- "), F.concat(F.lit("<li>"), esc(F.substr(x, F.lit(3))), F.lit("</li>"))).otherwise(F.concat(F.lit("<p>"), esc(x), F.lit("</p>"))))
     made = _pages(s, d).select("url", F.concat(F.lit("<html><body><nav>menu</nav><main>"), F.array_join(lines, "\n"), F.lit("</main></body></html>")).alias("html"))
     return H.scraped_pages(H.extract_pages(made)).select("url", "title", "url_hash", F.md5("content").alias("content"), F.size("headings").alias("n_headings"))
 
 
 def _graph(s, d):
-    """Page i links to 2i, 2i + 1 and back to i / 2."""
-    i = table(s, d, "scraped_page").select(F.col("page_id").alias("i"))
-    n = i.select(F.col("i").alias("dst"))
-    out = i.select(F.col("i").alias("src"), F.explode(F.array(F.col("i") * 2, F.col("i") * 2 + 1, F.floor(F.col("i") / 2))).alias("dst"))
-    return out.join(n, "dst", "left_semi").select("src", "dst")
+    """Links between pages: each page to the next two of its section by page_id, and to the first of the next section by name."""
+    p = table(s, d, "scraped_page").filter("section is not null").select("section", "page_id")
+    w = Window.partitionBy("section").orderBy("page_id")
+    after = p.select(F.col("page_id").alias("src"), F.lead("page_id", 1).over(w).alias("x"), F.lead("page_id", 2).over(w).alias("y"))
+    near = after.select("src", F.explode(F.array("x", "y")).alias("dst"))
+    firsts = p.groupBy("section").agg(F.min("page_id").alias("f"))  # a row per section
+    over = firsts.select(F.col("f").alias("src"), F.lead("f").over(Window.orderBy("section")).alias("dst"))
+    return near.unionByName(over).filter("dst is not null")
+
+
+def _roots(s, d):
+    """The first page of every section; sections in the order of their names."""
+    firsts = table(s, d, "scraped_page").filter("section is not null").groupBy("section").agg(F.min("page_id").alias("page"))
+    depths = table(s, d, "crawl_source").select("section", "max_depth")
+    return firsts.join(depths, "section", "left").withColumn("priority", F.rank().over(Window.orderBy("section")))
 
 
 def _bfs(s, d):
-    roots = table(s, d, "scraped_page").agg(F.min("page_id").alias("page"))
-    return crawl(_graph(s, d), roots, 6)
+    return crawl(_graph(s, d), _roots(s, d).select("page"), 12)
+
+
+def _sections(s, d):
+    return crawl_sections(_graph(s, d), _roots(s, d), 4).select("page", "section", "depth")
 
 
 QUERIES = {
@@ -109,6 +123,7 @@ QUERIES = {
     "chunk_metadata": lambda s, d: K.chunk_metadata(table(s, d, "doc_chunk")),
     "html_to_text": _html,
     "crawl_bfs": _bfs,
+    "crawl_sections": _sections,
 }
 _BLOCKS = r"""
   l AS (SELECT page_id, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(1, len(string_split(content, chr(10))))) AS no FROM scraped_page WHERE content IS NOT NULL),
@@ -127,7 +142,11 @@ _PARTS = rf"""
   parts AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS pos, heading, body FROM parts0)"""
 _SLUG = r"regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1)"
 _TITLE = f"array_to_string(list_transform(string_split(translate({_SLUG}, '_-', '  '), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
-_BAD = " OR ".join(f"ends_with(regexp_replace(path, '/+$', ''), '{e}')" for e in H.SKIPPED_ENDINGS)
+_BAD = r"regexp_matches(regexp_replace(path, '/+$', ''), '\.(png|jpg|jpeg|gif|svg|pdf|zip|tar|gz|css|js|xml|json|yaml|yml)$')"
+_LINKS = """p AS (SELECT section, page_id FROM scraped_page WHERE section IS NOT NULL),
+      fs AS (SELECT section, min(page_id) AS f FROM p GROUP BY section),
+      links AS (SELECT page_id AS src, lead(page_id) OVER (PARTITION BY section ORDER BY page_id) AS dst FROM p UNION ALL SELECT page_id, lead(page_id, 2) OVER (PARTITION BY section ORDER BY page_id) FROM p
+        UNION ALL SELECT f, lead(f) OVER (ORDER BY section) FROM fs)"""
 SQL = {
     "token_estimate": f"SELECT 'page' AS kind, page_id AS id, {_TOKENS} AS tokens FROM scraped_page UNION ALL SELECT 'chunk', chunk_row, {_TOKENS} FROM doc_chunk",
     "url_parts": rf"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path, substr(sha256(url), 1, 16) AS hash, {_TITLE} AS slug FROM scraped_page",
@@ -152,8 +171,11 @@ SQL = {
     "overlap_tails": f"WITH w AS (SELECT chunk_row, list_filter(regexp_split_to_array(content, '{_B}+'), lambda x: x <> '') AS w FROM doc_chunk WHERE content IS NOT NULL) SELECT chunk_row, md5(CASE WHEN len(w) > 52 THEN array_to_string(w[-52:], ' ') ELSE '' END) AS tail FROM w",
     "chunk_stats": "SELECT count(*) AS chunks, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS tokens, CAST(floor(coalesce(sum(token_count), 0) / greatest(count(*), 1)) AS BIGINT) AS avg_tokens, count(*) FILTER (coalesce(has_code, false)) AS code_chunks, array_to_string(list_sort(list(DISTINCT section) FILTER (section IS NOT NULL)), ',') AS sections FROM doc_chunk",
     "chunk_metadata": "SELECT chunk_id, source_url, source_title, section, section_label, token_count, array_to_string(heading_hierarchy, ' > ') AS heading_hierarchy, has_code FROM doc_chunk",
-    "crawl_bfs": """WITH RECURSIVE i AS (SELECT page_id AS i FROM scraped_page), g AS (SELECT i AS src, unnest([i * 2, i * 2 + 1, CAST(floor(i / 2) AS BIGINT)]) AS dst FROM i),
-      links AS (SELECT DISTINCT src, dst FROM g WHERE dst IN (SELECT i FROM i)),
-      r AS (SELECT min(i) AS page, 0 AS depth FROM i UNION SELECT l.dst, r.depth + 1 FROM r JOIN links l ON l.src = r.page WHERE r.depth < 6)
+    "crawl_bfs": f"""WITH RECURSIVE {_LINKS},
+      r AS (SELECT f AS page, 0 AS depth FROM fs UNION SELECT l.dst, r.depth + 1 FROM r JOIN links l ON l.src = r.page WHERE l.dst IS NOT NULL AND r.depth < 12)
       SELECT page, min(depth) AS depth FROM r GROUP BY page""",
+    "crawl_sections": f"""WITH RECURSIVE {_LINKS}, m AS (SELECT fs.section, f, coalesce(max_depth, 4) AS md FROM fs LEFT JOIN crawl_source USING (section)),
+      r AS (SELECT section, f AS page, 0 AS depth, md FROM m UNION SELECT r.section, l.dst, r.depth + 1, md FROM r JOIN links l ON l.src = r.page WHERE l.dst IS NOT NULL AND r.depth < md),
+      b AS (SELECT section, page, min(depth) AS depth FROM r GROUP BY section, page), k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY section) AS n FROM b)
+      SELECT page, section, depth FROM k WHERE n = 1""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import configs as G
+from ..operators import scripts as R
 from ..operators.evaluation import actions_covered
 from ..session import table
 
@@ -21,7 +22,8 @@ def _parsed(s, d):
 def _steps(s, d):
     """Steps as text patterns find them: (row_id, step_id, depends_on), steps section only by its two-blank indent."""
     item = r"(?m)^  - id: *(\S+)"
-    chunk = F.explode(F.slice(F.split(F.col("output"), r"(?m)^  - id: *"), 2, 10_000)).alias("c")
+    parts = F.split(F.col("output"), r"(?m)^  - id: *")
+    chunk = F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("c")
     rows = _rows(s, d).filter(F.col("output").rlike(item)).select("row_id", chunk)
     deps = F.split(F.regexp_extract("c", r"(?m)^    depends_on: *\[([^\]\n]*)\]", 1), r" *, *")
     return rows.select("row_id", F.regexp_extract("c", r"^(\S+)", 1).alias("step_id"), F.filter(deps, lambda x: x != "").alias("depends_on"))
@@ -65,9 +67,9 @@ QUERIES = {
     "action_counts": lambda s, d: _actions(s, d).groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("configs")),
     "expected_actions_covered": _covered,
     "first_valid_attempt": _attempts,
-    "render_steps": lambda s, d: G.render_steps(_parsed(s, d)),
-    "render_scripts": lambda s, d: G.scripts(_parsed(s, d)).select("row_id", F.md5("script").alias("script")),
-    "requirement_flags": lambda s, d: G.requirement_flags(_parsed(s, d)),
+    "render_steps": lambda s, d: R.render_steps(_parsed(s, d)),
+    "render_scripts": lambda s, d: R.scripts(_parsed(s, d)).select("row_id", F.md5("script").alias("script")),
+    "requirement_flags": lambda s, d: R.requirement_flags(_parsed(s, d)),
 }
 _CHUNKS = r"""c AS (SELECT row_id, unnest(string_split(regexp_replace(output, '(?m)^  - id: *', chr(1), 'g'), chr(1))[2:]) AS c FROM eval_raw WHERE regexp_matches(output, '(?m)^  - id: *\S+')),
   steps AS (SELECT row_id, regexp_extract(c, '^(\S+)', 1) AS step_id, list_filter(regexp_split_to_array(regexp_extract(c, '(?m)^    depends_on: *\[([^\]\n]*)\]', 1), ' *, *'), lambda x: x <> '') AS depends_on FROM c),

@@ -98,7 +98,7 @@ SQL = {
       b AS (SELECT count(*) AS s FROM gold_seed), c AS (SELECT count(*) FILTER (NOT coalesce({_FMT}, false)) AS k FROM eval_raw)
       SELECT t + e + s AS total, t + s AS train, e AS eval, s AS seeds, k AS skipped FROM a, b, c""",
     "seed_union": "SELECT origin, count(*) AS n, count(output) AS with_output FROM (SELECT 'seed' AS origin, output FROM gold_seed UNION ALL SELECT 'generated', output FROM eval_raw) GROUP BY origin",
-    "generation_summary": "SELECT source, count(*) AS batches, CAST(sum(total_generated) AS BIGINT) AS generated, CAST(sum(schema_valid) AS BIGINT) AS valid, round(sum(schema_valid) / greatest(sum(total_generated), 1) * 100, 4) AS valid_pct, CAST(sum(api_calls) AS BIGINT) AS calls, CAST(sum(api_errors) AS BIGINT) AS errors FROM generation_stats GROUP BY source",
+    "generation_summary": "SELECT source, count(*) AS batches, CAST(sum(total_generated) AS BIGINT) AS generated, CAST(sum(schema_valid) AS BIGINT) AS valid, round(sum(schema_valid) / greatest(sum(total_generated), 1) * 100, 4) AS valid_pct, CAST(sum(api_calls) AS BIGINT) AS calls, CAST(sum(api_errors) AS BIGINT) AS errors, round(sum(coalesce(api_cost_estimate_usd, 0.0)), 6) AS cost FROM generation_stats GROUP BY source",
     "fence_strip": f"""SELECT row_id, md5({_STRIP(f"regexp_replace(regexp_replace({_STRIP('output')}, '^```(yaml|yml)?', ''), '```$', '')")}) AS bare,
       md5(CASE WHEN starts_with({_STRIP('output')}, '```') THEN {_STRIP(f"regexp_replace(regexp_replace({_STRIP('output')}, '^```[^' || chr(10) || ']*' || chr(10) || '?', ''), '```$', '')")} ELSE {_STRIP('output')} END) AS without_lines FROM eval_raw WHERE output IS NOT NULL""",
 }

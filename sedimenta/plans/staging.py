@@ -19,19 +19,26 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="sedimenta-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """Path of a new folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a frame once as a zstd parquet table in the shared folder and return a scan of it.
 
     Later readers neither recompute it nor depend on executors that ran before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -39,6 +46,12 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes the tables that this application staged; results that are read from them lazily have to be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/staged/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df marked for broadcast if it has at most so many (short) rows, counted now; else unmarked, for a shuffled join."""
     return F.broadcast(df) if df.count() <= most else df

@@ -7,10 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "sedimenta", cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session with the settings that the queries expect (UTC, AQE, Arrow)."""
+def build_session(app: str = "sedimenta", cpus: int | str = "*", partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session with the settings that the queries expect (UTC, AQE, Arrow).
+
+    ``shared`` is the folder for staged tables (spark.checkpoint.dir); without it
+    one of this machine is made when it is first needed.
+    """
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")

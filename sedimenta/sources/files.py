@@ -53,9 +53,56 @@ def unwrap_payload(rows: DataFrame, key: str, payload: str) -> DataFrame:
     return rows.select(key, F.explode(listed).alias("e")).select(key, "e.*")
 
 
-def save_scripts(scripts: DataFrame, path: str, key: str = "row_id") -> None:
-    """Scripts as text files by configuration."""
-    scripts.select(F.col(key).cast("string").alias("config"), F.col("script").alias("value")).write.mode("overwrite").partitionBy("config").text(path)
+def save_with_stats(rows: DataFrame, stats: DataFrame, path: str) -> None:
+    """Rows as JSON lines and their statistics (a row or a few) beside them."""
+    save_lines(rows, f"{path}/rows")
+    stats.coalesce(1).write.mode("overwrite").json(f"{path}/stats")
+
+
+def save_chunks(chunks: DataFrame, path: str) -> None:
+    """Chunks as JSON lines, and their count, tokens, average, code chunks and sections."""
+    from ..operators.chunking import chunk_stats
+
+    save_with_stats(chunks, chunk_stats(chunks), path)
+
+
+def save_split(train: DataFrame, evaluation: DataFrame, path: str) -> None:
+    """The two parts of a training set, one folder each."""
+    save_lines(train, f"{path}/train")
+    save_lines(evaluation, f"{path}/eval")
+
+
+def save_results(runs: DataFrame, path: str, run: str = "run", category: str = "category") -> None:
+    """Results of runs(run, category, passed, ...) as JSON lines, beside their mean, least and most pass rate over runs."""
+    from ..operators.evaluation import cross_run
+
+    save_with_stats(runs, cross_run(runs, run, category), path)
+
+
+def save_scripts(scripts: DataFrame, configs: DataFrame, path: str, key: str = "row_id") -> None:
+    """One table of name, config and script; the name is a slug of the description and the key.
+
+    A file for each configuration would be millions of them; ``export_script`` writes
+    one to disk where it is to be run.
+    """
+    from ..functions.text import dir_slug
+
+    named = configs.select(key, F.concat_ws("-", dir_slug(F.coalesce("description", F.lit("output"))), F.col(key).cast("string")).alias("name"), "config")
+    named.join(scripts, key).write.mode("overwrite").parquet(path)
+
+
+def export_script(spark: SparkSession, path: str, name: str, folder: str) -> str:
+    """Writes the config and the executable script of one name into folder/name and returns that."""
+    row = spark.read.parquet(path).filter(F.col("name") == name).first()
+    if row is None:
+        raise KeyError(name)
+    out = os.path.join(folder, os.path.basename(name))
+    os.makedirs(out, exist_ok=True)
+    for file, text in (("config.yaml", row["config"]), ("script.py", row["script"])):
+        with open(os.path.join(out, file), "w", encoding="utf-8") as f:
+            f.write(text or "")
+    os.chmod(os.path.join(out, "script.py"), 0o755)
+    return out
 
 
 class VectorTable:
@@ -74,10 +121,12 @@ class VectorTable:
 
     def ingest(self, new: DataFrame, key: str = "chunk_id", replace: bool = False) -> int:
         """Appends rows with new keys and returns how many there were; ``replace`` starts over."""
+        from pyspark.sql import Observation
+
         fresh = new if replace else new.join(self.rows().select(key).distinct(), key, "left_anti")
-        n = fresh.count()
-        fresh.write.mode("overwrite" if replace else "append").parquet(self.path)
-        return n
+        seen = Observation()
+        fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite" if replace else "append").parquet(self.path)
+        return seen.get["n"]
 
     def clear(self) -> None:
         self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self.path)

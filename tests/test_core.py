@@ -9,6 +9,7 @@ from sedimenta.operators import configs as G
 from sedimenta.operators import curation as C
 from sedimenta.operators import evaluation as E
 from sedimenta.operators import retrieval as R
+from sedimenta.operators import scripts as X
 from sedimenta.operators.crawl import crawl
 from sedimenta.sources import files as S
 
@@ -144,6 +145,8 @@ def test_chunk_pages(spark):
     assert len({r.chunk_id for r in got}) == len(got)
     assert not [r for r in got if r.source_url in ("u0", "u9")]
     assert all(r.content.startswith("[...] ") for r in got if r.source_url == "u3" and not r.chunk_id.endswith("_000"))
+    parts = K.chunk_text("## A\n### B\n" + "b " * 300 + "\n### C\n" + "c " * 300, "T", target=200, overlap=0, small=1)
+    assert parts[0][0].startswith("### B\nb b") and parts[1][1] == ["T", "A", "C"] and K.chunk_text("four\n## A\ntext", "T", small=1)[1][0] == "## A\ntext"
     merged = K.merge_small(F.array(*[F.struct(F.lit(x).alias("text"), F.array(F.lit("p")).alias("path")) for x in ("a", "b", "c", "d" * 800, "e")]), 100)
     assert [x["text"] for x in spark.range(1).select(merged.alias("m")).first()["m"]] == ["a\n\nb", "c\n\n" + "d" * 800, "e"]
 
@@ -160,6 +163,10 @@ def test_html():
     assert "One two, three" in got["content"] and "- a\n- b" in got["content"]
     assert H.extract(None)["content"] == "" and H.extract("<p>" * 5000)["content"] == ""
     assert H.clean_url("../b#x", "https://h.example/a/c/") == "https://h.example/a/b/"
+    linked = '<a href="/d/x"></a><a href="/d/y.yaml"></a><a href="https://o.example/d/z"></a><a href="/e/"></a>'
+    assert H.page_links(linked, "https://h.example/d/", "https://h.example/d") == ["https://h.example/d/x/"]
+    assert H.extract("<main><h5>Five</h5><div>a</div><dl><dt>k</dt><dd>v</dd></dl><p>run <code>x y</code> now</p></main>")["content"] == "Five\na\n\n**k**: v\n\nrun `x y` now"
+    assert H.extract('<ol class="breadcrumb"><li>Home</li><li> Guide </li></ol><div class="td-max-width-on-larger-screens td-page-meta">m</div><main>t</main>')["breadcrumb"] == ["Home", "Guide"]
     assert H.page_links('<a href="#a"></a><a href="x.html?q=1"></a><a href="mailto:b"></a>', "https://h.example/d/") == ["https://h.example/d/x.html?q=1"]
 
 
@@ -216,9 +223,9 @@ def test_extract_and_patch(spark):
 
 def test_render(spark):
     df = G.parse_configs(spark.createDataFrame([(1, CONFIG), (2, None)], "row_id int, output string"))
-    got = [r.command for r in G.render_steps(df).orderBy("pos").collect()]
-    assert got == ["kubectl delete namespace web --ignore-not-found", "kubectl expose deployment b -n a --port=70000"]
-    assert G.scripts(df).count() == 2
+    got = [r.command for r in X.render_steps(df).orderBy("pos").collect()]
+    assert got == ['run(["kubectl","delete","namespace","web","--ignore-not-found"])', 'run(["kubectl","expose","deployment","b","--port=70000","--type=ClusterIP","-n","a"])']
+    assert X.scripts(df).count() == 2
 
 
 def test_retrieval(spark):
