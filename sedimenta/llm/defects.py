@@ -1,7 +1,13 @@
-"""Problem 2: defective instruction and output pairs."""
+"""Problem 2: defective instruction and output pairs.
+
+Every labelling function votes on its own: none looks at what another says or at
+another defect.  Several are weak on purpose (length, vocabulary, first person):
+alone they mean nothing, and the label model finds out how far to trust them.
+"""
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -13,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.staging import bounded, staged
 
 DEFECTS = ("empty", "copied", "refusal", "wrong_language", "truncated")
-#: Posteriors from which a label is kept.
+#: Posteriors that a kept label exceeds: the best of twenty steps on planted defects, of equal ones the nearest to a half
+#: (validated_cutoffs on the tables at 0.01 and 0.1 gives these).
 CUTOFFS = {"empty": 0.5, "copied": 0.5, "refusal": 0.5, "wrong_language": 0.5, "truncated": 0.5}
 #: A parameter belongs to an action if so large a share of its last steps has it.
 USUAL = 0.9
@@ -144,84 +151,90 @@ def structure(text: str) -> tuple[bool, bool, str, str]:
     return unfinished, missing, action, params
 
 
+FIRST_PERSON = set("i we my our us me i'm ich wir mir uns mein meine yo nosotros mi mis nos puedo tengo debo je nous mon mes moi".split())
+#: Letters that speak for a language.
+LETTERS = {"de": re.compile("[äöüß]", re.I), "es": re.compile("[ñ¿¡áíóú]", re.I), "fr": re.compile("[çœèêëîïôûàù]", re.I)}
+ANSWERS_TO = {"empty": 5, "copied": 5, "refusal": 6, "wrong_language": 4, "truncated": 6}
+
+
+def letters_of(text: str) -> str:
+    """The language that a text's special letters speak for, or none."""
+    if text.isascii():
+        return ""
+    found = {k: len(p.findall(text)) for k, p in LETTERS.items()}
+    best = max(found, key=found.get)
+    return best if found[best] and list(found.values()).count(found[best]) == 1 else ""
+
+
+def tri(yes: bool, no: bool) -> int:
+    return YES if yes else NO if no else NONE
+
+
 def votes(instruction: str | None, output: str | None) -> tuple[list[list[int]], str, str]:
     """Votes of all labelling functions, by defect; action and parameters of a configuration's last step."""
-    text = output or ""
-    body = text.strip().strip(" ﻿​").strip()
+    text, asked = output or "", instruction or ""
+    body = text.strip().strip(" \ufeff\u200b").strip()
     inner = _FENCE.sub("", body).strip()
     config = len(_TOP.findall(inner)) >= 2 or bool(re.match(r"\W*version\s*:\s*\S", inner))
-    words = _ALNUM.findall(inner)
+    words = [w.lower() for w in _ALNUM.findall(inner)]
+    own = [w.lower() for w in _ALNUM.findall(asked)]
     n = len(words)
-    flat = " ".join(words).lower()
     bare = inner if config else _FRAME_HEAD.sub("", _MARKS.sub("", inner)).strip()
-    # empty
-    blank = not body
-    symbols = n == 0
-    place = flat in PLACEHOLDERS
-    hollow = n <= 12 and not (config and n > 6) and all(not x.partition(":")[2].strip(" \"'[]{}~|>-") and ":" in x for x in inner.split("\n") if x.strip()) if inner else True
-    empty = [YES if blank else NONE, YES if symbols else NO, YES if place or symbols else NO, YES if hollow else NO, NO if n >= 6 else YES if symbols or place else NONE]
-    if symbols or place or hollow and n <= 6:
-        quiet = [NO, NO, NO, NO, NO]
-        return [empty, quiet, quiet[:4], quiet[:3], quiet[:5]], "", ""
-    # copied
-    copied = [NO] * 5
-    a = b = c = ""
-    if instruction and not config:
-        a, b, c = compact(instruction), compact(bare), compact(inner)
+    none = [NONE] * 6
+
+    # nothing there, a placeholder, keys without values, very few words, few beside the request
+    hollow = not inner or n <= 12 and all(not x.partition(":")[2].strip(" \"'[]{}~|>-") and ":" in x for x in inner.split("\n") if x.strip())
+    empty = [tri(n == 0, True), tri(n == 0 or " ".join(words) in PLACEHOLDERS, True), tri(hollow and n <= 6, not hollow), tri(n <= 2, n >= 8), tri(10 * n < len(own), 3 * n >= len(own))]
+    if n == 0 or hollow and n <= 6:
+        return [empty, none[:5], none, none[:4], none], "", ""
+
+    # equal but for spelling, alike in letters, nothing but repetitions, holding the request whole, of its words
+    copied = none[:5]
+    a = compact(asked)
     if len(a) >= 8:
-        k = max(1, round(len(c) / max(1, len(a))))
-        rest = c.replace(a, "")
+        b, c = compact(bare), compact(inner)
         near = likeness(a, b) if len(b) < 3.5 * len(a) + 60 else 0.0
-        one = b == a or c == a
-        many = len(rest) <= 30 and len(rest) < len(a) and c != rest
-        copied = [YES if one or many else NO, YES if near >= 0.8 else NO if near < 0.5 else NONE, YES if many else NONE, YES if abs(len(c) - k * len(a)) <= 0.2 * len(a) + 30 and near >= 0.6 else NO, YES if near >= 0.9 or many else NO]
-    is_copy = sum(v == YES for v in copied) >= 2
-    # refusal
-    opens = phrase = after = False
-    if not config and not is_copy:
-        plain = bare.replace("’", "'").replace("`", "'")
-        opens, phrase, after = bool(OPENINGS.match(plain)), bool(PHRASES.search(plain)), bool(AFTERWORDS.search(plain))
-    # length is a vote of its own: a single cue in a long text, also beside the instruction, speaks of something else
-    long = n > max(60, 2 * len(_ALNUM.findall(instruction or ""))) or after and n > 40
-    stray = long and opens + phrase + after == 1
-    if config or is_copy:
-        refusal = [NO] * 4
-    else:
-        any_cue = (opens or phrase or after) and not stray
-        refusal = [YES if opens else NONE if any_cue else NO, YES if phrase else NONE if after and not stray else NO, YES if after else NO if stray else NONE, NO if stray else YES if (opens + phrase + after) >= 2 or after else NONE if any_cue else NO]
-    is_refusal = not config and not is_copy and (phrase or after) and not stray
-    # another language
-    wrong = [NO] * 3
-    if not is_copy and instruction:
-        told = " ".join(_DESCRIPTION.findall(inner)) if config else inner
-        li, si, ti = language(instruction)
-        lo, so, to = language(told)
-        if si - ti >= 3 and so - to >= 3:
-            ratio = so / max(1, to)
-            differ = li != lo
-            wrong = [YES if differ else NO, YES if differ and ratio >= 1.5 else NO, YES if differ and so >= 6 and si >= 6 else NO if not differ else NONE]
-            if is_refusal:
-                wrong = [NO] * 3
-        else:
-            wrong = [NONE, NO, NONE]
-    # broken off
+        rest = c.replace(a, "")
+        shared = sum(w in set(own) for w in words) / n
+        copied = [tri(b == a or c == a, True), tri(near >= 0.8, near < 0.5), tri(c != rest and len(rest) <= 30 and len(rest) < len(a), True), tri(a in c, True), tri(shared >= 0.9, shared < 0.6)]
+
+    # how it begins, what it says, how it takes leave, who speaks, what it takes up, whether it is a configuration
+    plain = bare.replace("\u2019", "'").replace("`", "'")
+    speaks = sum(w in FIRST_PERSON for w in words)
+    taken = len({w for w in words if len(w) > 5} & {w for w in own if len(w) > 5})
+    wordy = n > max(60, 2 * len(own))
+    phrase = bool(PHRASES.search(plain))
+    refusal = [tri(bool(OPENINGS.match(plain)), True), tri(phrase and not wordy, not phrase), tri(bool(AFTERWORDS.search(plain)), wordy), tri(speaks > 0 and 12 * speaks >= n, speaks == 0), tri(taken == 0 and n < 60, taken >= 2), tri(False, config)]
+
+    # function words of another language, clearly, on both sides in number, its letters
+    told = " ".join(_DESCRIPTION.findall(inner)) if config else inner
+    li, si, ti = language(asked)
+    lo, so, to = language(told)
+    sure = si - ti >= 3 and so - to >= 3
+    mine, theirs = letters_of(asked), letters_of(told)
+    wrong = [tri(sure and li != lo, sure), tri(sure and li != lo and so >= 1.5 * to, sure and li == lo), tri(li != lo and so >= 6 and si >= 6 and sure, li == lo and sure), tri(bool(theirs) and theirs != li and theirs != mine and sure, bool(theirs) and theirs == li)]
+
+    # an open fence, an unfinished last entry or sentence, missing parts or a last word that asks for another, parameters (see below), few lines, no whole by any sign
+    marks = body.count("```")
     action = params = ""
-    open_fence = body.count("```") % 2 == 1
-    if is_copy or is_refusal:
-        cut = [NO] * 5
-    elif config:
-        tail = inner.rstrip()
-        unfinished, missing, action, params = structure(tail)
-        cut = [YES if open_fence else NO, YES if unfinished else NO, YES if missing else NO, NONE, YES if open_fence or unfinished or missing else NO]
+    last = words[-1]
+    if config:
+        unfinished, missing, action, params = structure(inner.rstrip())
+        lines = inner.count("\n") + 1
+        cut = [tri(marks % 2 == 1, marks > 0), tri(unfinished, True), tri(missing, True), NONE, tri(lines <= 5, lines >= 12)]
     else:
         end = re.sub(r"[\s\"'”’»)\]`*_]+$", "", inner)[-1:]
-        stop = end in ".!?…。:;" if end else True
-        stop = stop and end not in ":;"
-        cut = [YES if open_fence else NONE, NO if stop else YES, NO if stop else YES, NONE, YES if not stop and n >= 4 else NO]
+        stop = not end or end in ".!?…。"
+        cut = [tri(marks % 2 == 1, marks > 0), tri(not stop, True), tri(last in _LANG and not stop, stop), NONE, tri(n <= 4, n >= 12)]
+    tail = inner[-200:]
+    broken = any(tail.count(a) > tail.count(b) + k for a, b, k in (("(", ")", 1), ("[", "]", 0), ("{", "}", 0)))
+    cut.append(tri(broken or marks % 2 == 1 or (unfinished or missing if config else not stop), True))
     return [empty, copied, refusal, wrong, cut], action, params
 
 
-N_VOTES = (5, 5, 4, 3, 5)
+N_VOTES = tuple(ANSWERS_TO.values())
+#: Weight of the fourth vote on broken-off outputs, which is cast when all rows are known.
+PARAMS_VOTE = 3 ** (N_VOTES[4] - 4)
 
 
 def pattern(v: list[int]) -> int:
@@ -232,52 +245,52 @@ def pattern(v: list[int]) -> int:
     return out
 
 
-def expectation_maximization(patterns: np.ndarray, counts: np.ndarray, n: int, prior: float = 0.01, rounds: int = 50) -> np.ndarray:
-    """Posterior of the defect for each vote pattern under a label model of independent functions.
+class LabelModel:
+    """For each function the chance of a yes, where it votes, given the defect (good) and given none (bad), and the share of the defect.
 
-    Each function has a chance of each vote given defect and given none, begun
-    at functions that mostly tell the truth and re-estimated from all rows; a
-    function that would turn against its meaning is held back to no better than
-    chance.
+    An abstention says nothing either way.
     """
-    digits = np.stack([(patterns // 3 ** (n - 1 - k)) % 3 for k in range(n)], axis=1)
-    good = np.zeros((n, 3)) + np.array([0.15, 0.7, 0.15])
-    bad = np.zeros((n, 3)) + np.array([0.9, 0.02, 0.08])
-    p = prior
-    total = counts.sum()
-    q = np.zeros(len(patterns))
-    for _ in range(rounds):
-        lg = np.log(p) + sum(np.log(good[k][digits[:, k]]) for k in range(n))
-        lb = np.log(1 - p) + sum(np.log(bad[k][digits[:, k]]) for k in range(n))
-        q = 1 / (1 + np.exp(np.clip(lb - lg, -60, 60)))
-        w, u = q * counts, (1 - q) * counts
-        p = float(np.clip((w.sum() + 1) / (total + 100), 1e-4, 0.3))
-        for k in range(n):
-            for x in range(3):
-                at = digits[:, k] == x
-                good[k, x] = (w[at].sum() + 3 * (0.15, 0.7, 0.15)[x]) / (w.sum() + 3)
-                bad[k, x] = (u[at].sum() + 3 * (0.9, 0.02, 0.08)[x]) / (u.sum() + 3)
-            if good[k, 1] < bad[k, 1] or good[k, 0] > bad[k, 0]:
-                good[k] = bad[k] = (good[k] + bad[k]) / 2
-    return q
 
+    FIRST_GOOD, FIRST_BAD = 0.8, 0.03
+
+    def __init__(self, n: int, prior: float = 0.01):
+        self.n, self.p = n, prior
+        self.good, self.bad = np.full(n, self.FIRST_GOOD), np.full(n, self.FIRST_BAD)
+
+    def _digits(self, patterns: np.ndarray) -> np.ndarray:
+        return np.stack([(patterns // 3 ** (self.n - 1 - k)) % 3 for k in range(self.n)], axis=1)
+
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        odds = np.full(len(patterns), np.log(self.p) - np.log(1 - self.p))
+        for k, own in enumerate(self._digits(patterns).T):
+            odds += np.where(own == YES, np.log(self.good[k] / self.bad[k]), np.where(own == NO, np.log((1 - self.good[k]) / (1 - self.bad[k])), 0.0))
+        return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+
+    def fit(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> LabelModel:
+        """Expectation-maximization over counted vote patterns.
+
+        The chances begin at functions that mostly tell the truth and are
+        estimated anew from all rows in every round; a function that would turn
+        against its meaning is held back to no better than chance.
+        """
+        digits, total = self._digits(patterns), counts.sum()
+        for _ in range(rounds):
+            q = self.posterior(patterns)
+            w, u = q * counts, (1 - q) * counts
+            self.p = float(np.clip((w.sum() + 1) / (total + 100), 1e-4, 0.2))
+            for k in range(self.n):
+                yes, no = digits[:, k] == YES, digits[:, k] == NO
+                good = (w[yes].sum() + 4 * self.FIRST_GOOD) / (w[yes].sum() + w[no].sum() + 4)
+                bad = (u[yes].sum() + 4 * self.FIRST_BAD) / (u[yes].sum() + u[no].sum() + 4)
+                self.good[k], self.bad[k] = (good, bad) if good > bad else ((good + bad) / 2,) * 2
+        return self
 
-VOTES = "row_id bigint, " + ", ".join(f"v_{d} int" for d in DEFECTS) + ", action string, params string"
 
+VOTES = "row_id bigint, " + ", ".join(f"v_{d} int" for d in DEFECTS) + ", action string, params string"
 
-def defect_posteriors(records: DataFrame, id_col: str = "row_id", instruction: str = "instruction", output: str = "output") -> DataFrame:
-    """row_id and the posterior of each defect (columns named after them), a row per record.
 
-    Method: labelling functions vote on every row for every defect; rows with
-    equal votes are counted together (at most 3^5 patterns a defect, whatever
-    the table's size), an expectation-maximization label model turns the counts
-    into the functions' accuracies and the patterns' posteriors, and these are
-    joined back.  Whether the last step of a configuration lacks parameters is
-    judged by what the steps of the same action have in all rows.
-
-    Null outputs are empty; without an instruction nothing can be copied or in
-    another language.  Rows with a null id are left out.
-    """
+def cast_votes(records: DataFrame, id_col: str = "row_id", instruction: str = "instruction", output: str = "output") -> DataFrame:
+    """row_id and the vote pattern on each defect (v_<defect>), a row per record, staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,30 +306,117 @@ def defect_posteriors(records: DataFrame, id_col: str = "row_id", instruction: s
     usual = each.join(size, "action").filter(F.col("m") >= USUAL * F.col("n")).groupBy("action").agg(F.collect_set("param").alias("usual"))
     # a misspelt parameter still counts as one: fewer than usual have to be there
     lacking = (F.size(F.split("params", " ")) < F.size("usual")) & (F.size(F.array_except(F.coalesce("usual", F.array().cast("array<string>")), F.split("params", " "))) > 0)
-    # the fourth function on broken-off outputs: digits 1 (defect) or 0 in place of its abstention
-    better = voted.join(bounded(usual, 10_000), "action", "left").withColumn("v_truncated", F.when(F.col("action") == "", F.col("v_truncated")).when(lacking, F.col("v_truncated") - 3 - F.when(F.pmod("v_truncated", F.lit(3)) == 0, -1).otherwise(0)).otherwise(F.col("v_truncated") - 6))
-    better = better.drop("usual", "action", "params")
-    spark = records.sparkSession
-    for k, d in enumerate(DEFECTS):
-        seen = better.groupBy(f"v_{d}").agg(F.count(F.lit(1)).alias("n")).collect()
-        if not seen:
-            better = better.withColumn(d, F.lit(0.0))
-            continue
-        codes, counts = np.array([r[0] for r in seen]), np.array([r[1] for r in seen], dtype=float)
-        q = expectation_maximization(codes, counts, N_VOTES[k])
-        known = spark.createDataFrame([(int(c), float(x)) for c, x in zip(codes, q)], f"v_{d} int, {d} double")
+    vote = F.when(F.col("action") == "", NONE).when(lacking, YES).otherwise(NO)
+    known = voted.join(bounded(usual, 10_000), "action", "left").withColumn("v_truncated", F.col("v_truncated") - (NONE - vote) * PARAMS_VOTE)
+    return staged(known.drop("usual", "action", "params"), "all-votes")
+
+
+def label_models(voted: DataFrame) -> tuple[dict[str, LabelModel], dict[str, np.ndarray]]:
+    """A label model for each defect, and the vote patterns that occur (at most 3^6 a defect, whatever the table's size)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"v_{d}").alias("v")) for d in DEFECTS]))
+    seen: dict[str, list[tuple[int, int]]] = {d: [] for d in DEFECTS}
+    for r in voted.select(pairs.alias("x")).groupBy("x.d", "x.v").agg(F.count(F.lit(1)).alias("n")).collect():
+        seen[r["d"]].append((r["v"], r["n"]))
+    models, patterns = {}, {}
+    for d, own in seen.items():
+        patterns[d] = np.array([v for v, _ in own], dtype=np.int64)
+        models[d] = LabelModel(ANSWERS_TO[d]).fit(patterns[d], np.array([n for _, n in own], dtype=float)) if own else LabelModel(ANSWERS_TO[d])
+    return models, patterns
+
+
+def defect_posteriors(records: DataFrame, id_col: str = "row_id", instruction: str = "instruction", output: str = "output") -> DataFrame:
+    """row_id and the posterior of each defect (columns named after them), a row per record.
+
+    Method: labelling functions vote on every row for every defect, each by
+    itself; rows with equal votes are counted together, an
+    expectation-maximization label model turns the counts into the functions'
+    accuracies and the patterns' posteriors, and these are joined back.  Whether
+    the last step of a configuration lacks parameters is judged by what the steps
+    of the same action have in all rows.
+
+    Null outputs are empty; without an instruction nothing can be copied or in
+    another language.  Rows with a null id are left out.
+    """
+    better = cast_votes(records, id_col, instruction, output)
+    models, patterns = label_models(better)
+    for d in DEFECTS:
+        rows = [(int(c), float(x)) for c, x in zip(patterns[d], models[d].posterior(patterns[d]))] if len(patterns[d]) else []
+        known = records.sparkSession.createDataFrame(rows, f"v_{d} int, {d} double")
         better = better.join(F.broadcast(known), f"v_{d}")
     return better.select("row_id", *DEFECTS)
 
 
 def defect_labels(posteriors: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame:
-    """row_id, defects (all labels whose posterior reaches its cutoff, surest first), a row per flagged record."""
+    """row_id, defects (every label whose posterior exceeds its cutoff), a row per flagged record.
+
+    A record may have several.  They stand in the order of DEFECTS: an empty or
+    copied output has no other answer in it, a refusal's language matters less
+    than the refusal.
+    """
     cut = {**CUTOFFS, **(cutoffs or {})}
-    items = F.array(*[F.struct((-F.col(d)).alias("p"), F.lit(k).alias("k"), F.lit(d).alias("d"), F.lit(cut[d]).alias("cut")) for k, d in enumerate(DEFECTS)])
-    kept = F.filter(F.array_sort(items), lambda x: -x["p"] >= x["cut"])
-    return posteriors.select("row_id", F.transform(kept, lambda x: x["d"]).alias("defects")).filter(F.size("defects") > 0)
+    kept = F.array_compact(F.array(*[F.when(F.col(d) > cut[d], F.lit(d)) for d in DEFECTS]))
+    return posteriors.select("row_id", kept.alias("defects")).filter(F.size("defects") > 0)
 
 
 def single_defects(posteriors: DataFrame) -> DataFrame:
-    """row_id, defect: the surest label of each flagged record, the form that problem 2 asks for."""
+    """row_id, defect: the first label of each flagged record, the form that problem 2 asks for."""
     return defect_labels(posteriors).select("row_id", F.col("defects")[0].alias("defect"))
+
+
+# What is planted to validate cutoffs; none of the refusals is built from the phrases above.
+PLANTED_EMPTY = ("", " \n ", "TODO", "...", "```yaml\n```", "n/a", "output:", "{}", "<pending>", "steps:\nmetadata:")
+PLANTED_REFUSAL = (
+    "Sorry, that is one I have to leave alone.", "I'm afraid my answer to this is no.", "Unfortunately I can't help with that request.", "This is nothing I will do. Please try another question.",
+    "Lo siento, pero no voy a hacer esto.", "Leider kann ich bei dieser Anfrage nicht helfen.", "Je regrette, mais je ne peux pas répondre à cela.", "We would rather not take this on, I hope you understand.",
+)
+COPY_FRAMES = ("{0}", "{0}\n\n{0}", "Request: {0}", "> {0}", "You asked: {0}", '"{0}"')
+
+
+def planted(rows: list[tuple[str, str]], seed: int = 3) -> list[tuple[str, str, str]]:
+    """(defect, instruction, output): each sound pair once with every defect, as far as it can be given to it."""
+    rnd = random.Random(seed)
+    by_lang: dict[str, list[str]] = {}
+    for _, o in rows:
+        if not _TOP.search(o):
+            by_lang.setdefault(language(o)[0], []).append(o)
+    out = []
+    for i, o in rows:
+        out += [("empty", i, rnd.choice(PLANTED_EMPTY)), ("copied", i, rnd.choice(COPY_FRAMES).format(i.upper() if rnd.random() < 0.2 else i)), ("refusal", i, rnd.choice(PLANTED_REFUSAL))]
+        others = [k for k in by_lang if k != language(i)[0]]
+        if others:
+            out.append(("wrong_language", i, rnd.choice(by_lang[rnd.choice(others)])))
+        at = rnd.randint(len(o) // 5, max(len(o) // 5, len(o) - 2))
+        part = o[:at].rstrip()
+        if part and part[-1] not in ".!?\"'`" and "\n" in part or len(part) > 40 and part[-1].isalnum():
+            out.append(("truncated", i, part))
+    return out
+
+
+def validated_cutoffs(records: DataFrame, sample: int = 2_000, seed: int = 3) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
+    """Cutoffs that do best on planted defects, and (recall, false alarms among sound rows) of each on the other half.
+
+    The label models are those of the whole table.  A bounded sample of pairs
+    that no model suspects (``sample`` rows, the first by hash) gets every defect
+    planted; one half chooses, for each defect, the cutoff of highest F1, the
+    other half measures it.  CUTOFFS are such cutoffs.
+    """
+    voted = cast_votes(records)
+    models, _ = label_models(voted)
+    clean = defect_labels(defect_posteriors(records)).select("row_id")
+    sound = records.join(clean, "row_id", "left_anti").filter("length(instruction) > 20 and length(output) > 40")
+    rows = [(r[0], r[1]) for r in sound.orderBy(F.xxhash64("row_id")).limit(sample).select("instruction", "output").collect()]
+    cases = [(d, *votes(i, o)[:1]) for d, i, o in planted(rows, seed)]
+    plain = [votes(i, o)[0] for i, o in rows]
+    cutoffs, measured = {}, {}
+    for k, d in enumerate(DEFECTS):
+        score = lambda vs: models[d].posterior(np.array([pattern(v[k]) for v in vs], dtype=np.int64)) if vs else np.zeros(0)  # noqa: B023, E731
+        hit, miss = score([v for c, v in cases if c == d]), score(plain)
+        best = max(np.round(np.arange(0.05, 1.0, 0.05), 2), key=lambda t: (_f1(hit[::2], miss[::2], t), -abs(t - 0.5)))
+        cutoffs[d] = float(best)
+        measured[d] = (float((hit[1::2] > best).mean()) if len(hit) > 1 else 0.0, float((miss[1::2] > best).mean()) if len(miss) > 1 else 0.0)
+    return cutoffs, measured
+
+
+def _f1(hit: np.ndarray, miss: np.ndarray, t: float) -> float:
+    found, wrong = (hit > t).sum(), (miss > t).sum()
+    return 2 * found / max(1, found + wrong + len(hit))

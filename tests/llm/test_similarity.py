@@ -151,6 +151,29 @@ def test_settle_is_greedy(spark):
     assert settle(spark.createDataFrame([], "lo bigint, hi bigint")).count() == 0
 
 
+def test_hot_keys_never_meet_one_task(spark):
+    """A key of 100,000 classes: rows of a hot key are dealt out one by one, its pairs come from blocks."""
+    from sedimenta.llm.alike import counted, flag_hot, meetings
+    from sedimenta.plans.staging import staged
+
+    rows = staged(spark.range(100_000).selectExpr("7L AS k", "id AS sig").unionByName(spark.range(40).selectExpr("id % 4 AS k", "id AS sig")), "hot-test")
+    flagged = flag_hot(rows, ["k"])
+    met = meetings(flagged, ["k"], ["sig"], lambda a, b: (a("sig") - b("sig")).between(-1, 1), "hot-meetings", ["k", "sig"])
+    plan = met._jdf.queryExecution().toString()
+    assert "Window" not in plan  # nothing of the hot key is gathered once the rest is staged
+    assert met.filter("k <> 7").count() == 0
+    held = flagged.withColumn("own", F.when(F.col("hot"), F.xxhash64("k", "sig")).otherwise(F.lit(0))).repartition(16, "k", "own")
+    sizes = [r[0] for r in held.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 2 * 100_040 / 16 and counted(rows, ["k"]).filter("cnt = 100000").count() == 100_000
+
+
+def test_sketch_follows_the_data():
+    from sedimenta.llm.sketch import LEAST_BITS, MOST_BITS, sketch_bits
+
+    assert sketch_bits(0) == LEAST_BITS and sketch_bits(10**15) == MOST_BITS
+    assert sketch_bits(16 * 10**7) - sketch_bits(10**7) == 4
+
+
 def test_history(spark):
     rnd = random.Random(9)
     texts = sample(90, 11)
@@ -215,5 +238,33 @@ def test_batches_one_by_one_equal_the_replay(spark, tmp_path):
     got = {}
     for b in ("b1", "b2", "b3"):
         h = History(spark, f"file://{tmp_path}/history", buckets=4)  # opened anew: everything lives in the tables
+        if b == "b3":
+            h.compact()
+            assert len(h.deliveries()) == 1
         got |= {r.row_id: r.kind for r in h.admit(df.filter(F.col("batch_id") == b)).collect()}
     assert set(got) == set(want)  # a copy of a rejected row is near to the history, which never held it
+
+
+def test_deliveries_and_lost_batches(spark, tmp_path):
+    """Any number of deliveries gives one result; a delivery that never reached the log is admitted again whole."""
+    from sedimenta.llm.history import History
+
+    texts = sample(90, 5)
+    df, _ = frame(spark, texts, batch_id=[f"b{i % 6}" for i in range(90)])
+    batches = spark.createDataFrame([(f"b{k}", k, 0) for k in range(6)], "batch_id string, batch_seq bigint, duplicates_removed bigint")
+    want = {r.row_id for r in replay(df, batches, deliveries=1).collect()}
+    assert {r.row_id for r in replay(df, batches, deliveries=3).collect()} == want
+    covered = replay(df, batches, deliveries=2, covered=True)
+    assert {r.row_id for r in covered.collect()} == want and covered.filter("coverage < 0 or coverage > 1").count() == 0
+    h = History(spark, f"file://{tmp_path}/lost", buckets=2)
+    first = df.filter("batch_id in ('b0', 'b1', 'b2')")
+    once = {r.row_id for r in h.admit(first).collect()}
+    h._commit = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    rest = df.filter("batch_id not in ('b0', 'b1', 'b2')")
+    with pytest.raises(RuntimeError):
+        h.admit(rest)
+    again = History(spark, f"file://{tmp_path}/lost", buckets=2)
+    assert again.deliveries() == [0]
+    got = {r.row_id for r in again.admit(rest).collect()}
+    order = first.select("row_id", F.lit(0).alias("arrival"), "instruction", "output").unionByName(rest.select("row_id", F.lit(1).alias("arrival"), "instruction", "output"))
+    assert once | got == {r.row_id for r in History(spark, f"file://{tmp_path}/whole", buckets=2).admit(order).collect()}
