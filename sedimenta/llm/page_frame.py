@@ -28,11 +28,11 @@ RELATED_OPENING = re.compile(r"(more|also|popular|latest|news)\s+(from|on|in|at)
 ADVERT_TITLES = {"advertisement", "advert", "sponsored", "promotion", "promoted", "ad"}
 MENU_TITLES = {"menu", "toggle navigation", "navigation", "skip to main content", "skip to content", "skip navigation", "main menu", "back to top", "search", "close"}
 CUES = re.compile(
-    r"\b(?:(?P<consent>cookies?|privacy (policy|matters)|your privacy|adverts?|advertisement|tracking|stores small files|set cookies|accept all|reject|manage preferences"
-    r")|(?P<promotion>newsletter|subscribe|sign up|sign in|log in|courses start|get certified|free hours|order today|tip of the week|readers in the|join \d+"
+    r"\b(?:(?P<consent>cookies?|privacy (policy|matters)|your privacy|adverts?|advertisement|tracking|accept all|reject|manage preferences"
+    r")|(?P<promotion>newsletter|subscribe|sign up|sign in|log in"
     r")|(?P<feedback>print this|save as pdf|copy link|share this|rate this|was this (page|article)|helpful\?|found a mistake|suggest a change|edit this page|report (a|an) (problem|issue)|send feedback"
-    r")|(?P<stamp>last updated|last modified|last reviewed|updated on|reviewed \d|written by|built with|docs (team|crew)|editorial desk|served by|page id|revision|generated (by|on|at)|build \d"
-    r")|(?P<legal>copyright|all rights reserved|legal notice|terms of use|imprint|sitemap|accessibility|mark of its owners|trademarks?|without warranty|may be reused|written permit"
+    r")|(?P<stamp>last updated|last modified|last reviewed|updated on|reviewed \d|written by|built with|served by|page id|revision|generated (by|on|at)|build \d"
+    r")|(?P<legal>copyright|all rights reserved|legal notice|terms of use|imprint|sitemap|accessibility|trademarks?|without warranty|may be reused|written permit"
     r")|(?P<menu>back to top|skip to|you are here|jump to|toggle navigation|menu))\b|[©®]",
     re.I,
 )
@@ -63,9 +63,13 @@ def label(clean: str) -> str:
     return _DIGITS.sub("0", _BULLET.sub("", clean).lower())
 
 
+#: Words at the head of a line that make a slot of their own: pages share the head, the rest varies.
+HEAD_WORDS = 4
+
+
 @lru_cache(maxsize=200_000)
 def slots_of(clean: str) -> frozenset[str]:
-    """Kinds of furniture that a tidy line may be, by its words: what pages share where the rest of the line varies."""
+    """What pages may share of a tidy line whose rest varies: its first words, and the kind of furniture that its words speak for."""
     s = _BULLET.sub("", clean)
     t = s.lower().rstrip(":")
     out = {f"title {name}" for name, titles in TITLES.items() if t in titles}
@@ -73,6 +77,8 @@ def slots_of(clean: str) -> frozenset[str]:
         out.add("title related")
     if arrowed(s, t):
         out.add("arrow")
+    if HEAD_WORDS <= s.count(" ") < 30:
+        out.add(head_slot(s))
     if s.count(" ") < 30:
         out |= {"cue " + (m.lastgroup or "legal") for m in CUES.finditer(s)}
         if _STAMP.match(s):
@@ -80,6 +86,10 @@ def slots_of(clean: str) -> frozenset[str]:
     return frozenset(out)
 
 
+def head_slot(s: str) -> str:
+    return "head " + _DIGITS.sub("0", " ".join(s.lower().split(" ", HEAD_WORDS)[:HEAD_WORDS]))
+
+
 def arrowed(s: str, low: str) -> bool:
     return s.startswith(("←", "‹", "<-", "«")) or s.endswith(("→", "›", "->")) or bool(re.match(r"(previous|prev|next)\s*[:|]", low))
 
@@ -263,7 +273,10 @@ def frame_lines(tree: Tree, constant: set[int], site: str, trail: list[str], tit
         return low[i] in titles
 
     def known(i: int) -> bool:
-        return alone or tree_constant(tree, i, constant) or any(_key(z) in constant for z in tree.slots(i))
+        return alone or tree_constant(tree, i, constant) or any(_key(z) in constant for z in tree.slots(i) if not z.split("\n", 2)[2].startswith(SLOT + "head "))
+
+    def headed(i: int) -> bool:
+        return HEAD_WORDS <= bare[i].count(" ") < 30 and _key(node_of(tree.kind[i], i < tree.first, SLOT + head_slot(bare[i]))) in constant
 
     follow = ""
     slots = 0
@@ -306,7 +319,7 @@ def frame_lines(tree: Tree, constant: set[int], site: str, trail: list[str], tit
             out[i], follow = True, ""  # menu entries
         elif s.count(" | ") >= 3 and all(len(_WORD.findall(p)) <= 4 for p in s.split(" | ")) and (tree_constant(tree, i, constant) or all(_entry(p, constant) for p in s.split(" | "))):
             out[i], follow = True, ""
-        elif name and name in t and tree_constant(tree, i, constant):
+        elif name and (name in t and tree_constant(tree, i, constant) or t.startswith(name) and headed(i)):
             out[i], follow = True, ""
         else:
             follow = ""
@@ -332,34 +345,39 @@ def _entry(part: str, constant: set[int]) -> bool:
     return any(_key(node_of(k, top, label(part.strip()))) in constant for k in ("list", "text") for top in (True, False))
 
 
-def frame_of_pages(pages: DataFrame) -> DataFrame:
+def frame_of_pages(pages: DataFrame, most_nodes: int = 1_000_000) -> DataFrame:
     """page_id, line_no, frame (boolean) for each non-blank line of every page.
 
     Method: wrapper induction.  Each page is read as a tree of groups and lines;
     pages of a host are aligned by simple tree matching; nodes that stay constant
-    are the template, among them slots, whose lines vary but for words of page
-    furniture.  A line is frame if it is a constant node outside headings,
+    are the template, among them slots, whose lines vary but for their first words
+    or for words of page furniture.  A line is frame if it is a constant node outside headings,
     code, tables and notes, or fills a slot that hangs on the template: the trail
     (compared with breadcrumb), entries of contents and related lists, adverts,
     neighbour links, dates and stamps.  The rest, the varying slots, is content.
 
+    A template of up to ``most_nodes`` nodes is sent to the workers; of a larger
+    one each page gets, by a join on host and node, what its lines may be.
+
     Null contents give no row; null titles, breadcrumbs and urls only remove
     hints.  Repeated pages are judged each on its own.
     """
     template = staged(induce(pages), "template")
-    per_host = template.groupBy("host").agg(F.collect_list("node").alias("nodes"))
-    hosted = pages.filter("content is not null and page_id is not null").select(F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")).alias("host"), F.col("page_id").cast("bigint").alias("page_id"), "title", "breadcrumb", "content")
+    hosted = pages.filter("content is not null and page_id is not null").select(F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")).alias("host"), F.col("page_id").cast("bigint").alias("page_id"), "title", "breadcrumb", "content", "url")
     first = hosted.filter(F.size("breadcrumb") > 0).groupBy("host", F.col("breadcrumb")[0].alias("site")).agg(F.count(F.lit(1)).alias("n"))
     counts = hosted.groupBy("host").agg((F.count(F.lit(1)) < LEAST_HOST).alias("alone"))
-    facts = counts.join(per_host, "host", "left").join(first.groupBy("host").agg(F.max_by("site", F.struct("n", "site")).alias("site")), "host", "left")
-    facts = staged(facts, "host-facts")
-    small = template.count() <= 1_000_000 and facts.count() <= 100_000
-    if small:  # the whole template is sent; beyond that each page gets its host's part by a join
-        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: (set(r["nodes"] or []), r["site"] or "", r["alone"]) for r in facts.toLocalIterator()})
+    facts = staged(counts.join(first.groupBy("host").agg(F.max_by("site", F.struct("n", "site")).alias("site")), "host", "left"), "host-facts")
+    if template.count() <= most_nodes and facts.count() <= 100_000:  # the whole template is sent
+        nodes: dict[str, set[int]] = {}
+        for h, x in template.select("host", "node").toLocalIterator():
+            nodes.setdefault(h, set()).add(x)
+        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: (nodes.get(r["host"], set()), r["site"] or "", r["alone"]) for r in facts.toLocalIterator()})
         hosted = hosted.withColumns({"nodes": F.lit(None).cast("array<bigint>"), "site": F.lit(None).cast("string"), "alone": F.lit(None).cast("boolean")})
-    else:
+    else:  # each page gets of its host's template what its own lines may be
         sent = None
-        hosted = hosted.join(facts, "host", "left")
+        lined = hosted.withColumn("page", F.xxhash64("page_id", "content"))
+        own = lined.select("host", "page", "content").mapInArrow(_page_nodes, "host string, page bigint, node bigint").join(template.select("host", "node"), ["host", "node"])
+        hosted = lined.join(own.groupBy("host", "page").agg(F.collect_set("node").alias("nodes")), ["host", "page"], "left").join(bounded(facts), "host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,6 +394,19 @@ def frame_of_pages(pages: DataFrame) -> DataFrame:
     return hosted.select("host", "page_id", "title", "breadcrumb", "content", "nodes", "site", "alone").mapInArrow(run, "page_id bigint, line_no int, frame boolean")
 
 
+def _page_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, page, node: every node of a template that a line of the page, or a part of a menu bar, may be."""
+    for batch in batches:
+        out: list[tuple[str, int, int]] = []
+        for host, page, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            tree = Tree(content)
+            own = {tree.node(i) for i, k in enumerate(tree.kind) if k} | {z for i, k in enumerate(tree.kind) if k for z in tree.slots(i)}
+            parts = {label(p.strip()) for x in tree.clean if " | " in x for p in _BULLET.sub("", x).split(" | ")}
+            own |= {node_of(k, top, p) for p in parts for k in ("list", "text") for top in (True, False)}
+            out += [(host, page, _key(x)) for x in own]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=["host", "page", "node"])
+
+
 def judge(content: str, constant: set[int], site: str, crumbs: list[str] | None, title: str | None, alone: bool = False) -> list[bool | None]:
     """For each line whether it is frame; None for blank lines."""
     tree = Tree(content)

@@ -174,6 +174,13 @@ _ALIKE = """c AS (SELECT x.row_id AS a, y.row_id AS b, count(*) AS o FROM g x JO
   e AS (SELECT a, b FROM c JOIN n p ON p.row_id = a JOIN n q ON q.row_id = b WHERE 10 * o >= 7 * (p.n + q.n - o))"""
 _LINE = r"regexp_replace(lower(regexp_replace(regexp_replace(line, '[ \t\x{00A0}]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), '[0-9]+', '0', 'g')"
 _CODE = "(length(content) - length(regexp_replace(content, '(?s)```.*?```', '', 'g')))"
+# rows in order of arrival; of those with alike rows one after the other is accepted or lost
+_REPLAY = f"""{_GRAMS}, {_ALIKE.format("x.row_id < y.row_id")},
+  o AS (SELECT row_id, e.batch_id, row_number() OVER (ORDER BY coalesce(batch_seq, 9223372036854775807), row_id) AS k FROM eval_raw e LEFT JOIN generation_stats USING (batch_id)),
+  l AS (SELECT greatest(x.k, y.k) AS k, list(least(x.k, y.k)) AS before FROM e JOIN o x ON x.row_id = e.a JOIN o y ON y.row_id = e.b GROUP BY 1),
+  q AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM l),
+  z AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS lost UNION ALL SELECT q.i, CASE WHEN len(list_filter(q.before, lambda b: NOT list_contains(z.lost, b))) > 0 THEN list_append(z.lost, q.k) ELSE z.lost END FROM z JOIN q ON q.i = z.i + 1),
+  gone AS (SELECT batch_id, row_id FROM o WHERE k IN (SELECT unnest(lost) FROM z WHERE i = (SELECT max(i) FROM z)))"""
 SQL: dict[str, str] = {
     "p1_found": f"""WITH RECURSIVE {_GRAMS}, {_ALIKE.format("x.row_id < y.row_id")}, s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
       r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b)
@@ -183,10 +190,21 @@ SQL: dict[str, str] = {
       s AS (SELECT section, count(DISTINCT page_id) AS pages FROM scraped_page GROUP BY section),
       f AS (SELECT section, key FROM k JOIN s USING (section) WHERE length(key) >= 12 GROUP BY section, key, pages HAVING count(DISTINCT page_id) >= greatest(3, 0.05 * pages))
       SELECT page_id, line_no FROM k JOIN f USING (section, key)""",
+    "p1_groups": f"""WITH RECURSIVE {_GRAMS}, {_ALIKE.format("x.row_id < y.row_id")}, s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+      r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b)
+      SELECT row_id, least(row_id, coalesce((SELECT min(b) FROM r WHERE a = row_id), row_id)) AS group_id FROM eval_raw""",
+    "p4_cleaned": f"""WITH l AS (SELECT page_id, section, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(0, len(string_split(content, chr(10))) - 1)) AS line_no FROM scraped_page WHERE content IS NOT NULL),
+      k AS (SELECT page_id, section, line, line_no, {_LINE} AS key FROM l),
+      s AS (SELECT section, count(DISTINCT page_id) AS pages FROM scraped_page GROUP BY section),
+      f AS (SELECT section, key, true AS gone FROM k JOIN s USING (section) WHERE length(key) >= 12 GROUP BY section, key, pages HAVING count(DISTINCT page_id) >= greatest(3, 0.05 * pages)),
+      c AS (SELECT page_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (gone IS NULL), '') AS content, CAST(count(gone) AS INT) AS lines_removed FROM k LEFT JOIN f USING (section, key) GROUP BY page_id)
+      SELECT page_id, c.content, coalesce(lines_removed, 0) AS lines_removed FROM scraped_page LEFT JOIN c USING (page_id)""",
     "p5_found": f"""WITH {_GRAMS}, {_ALIKE.format("x.split = 'train' AND y.split IN ('eval', 'test')")}
       SELECT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM e""",
     "p6_found": f"""SELECT kind, id AS item_id FROM (SELECT 'page' AS kind, page_id AS id, content FROM scraped_page UNION ALL SELECT 'chunk', chunk_row, content FROM doc_chunk)
       WHERE trunc((length(content) - {_CODE}) / 4.0::DOUBLE + {_CODE} / 3.2::DOUBLE) > 1000""",
+    "p7_found": f"""WITH RECURSIVE {_REPLAY} SELECT batch_id, row_id FROM gone""",
+    "p7_removed_per_batch": f"""WITH RECURSIVE {_REPLAY} SELECT batch_id, batch_seq, duplicates_removed AS reported, (SELECT count(*) FROM gone g WHERE g.batch_id = b.batch_id) AS duplicates_removed FROM generation_stats b""",
     "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format("prompt")} AS w FROM eval_prompt),
       x AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 9), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM d WHERE len(w) >= 10),
       y AS (SELECT item_id, unnest(list_transform(generate_series(1, len(w) - 9), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM i WHERE len(w) >= 10)
@@ -194,6 +212,10 @@ SQL: dict[str, str] = {
     "p10_found": """WITH w AS (SELECT DISTINCT doc_id, hash(unnest(list_transform(generate_series(1, length(text) - 299), lambda k: substr(text, k, 300)))) AS h FROM documents WHERE length(text) >= 300),
       r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), s AS (SELECT doc_id, h FROM w SEMI JOIN r USING (h))
       SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id""",
+    "p10_shared_share": """WITH w AS (SELECT doc_id, unnest(generate_series(1, length(text) - 299)) AS k, unnest(list_transform(generate_series(1, length(text) - 299), lambda k: hash(substr(text, k, 300)))) AS h FROM documents WHERE length(text) >= 300),
+      r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), c AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM w SEMI JOIN r USING (h)),
+      s AS (SELECT doc_id, CAST(sum(CASE WHEN k - p < 300 THEN k - p ELSE 300 END) AS INT) AS shared FROM c GROUP BY doc_id)
+      SELECT doc_id, CAST(length(coalesce(text, '')) AS INT) AS n_chars, coalesce(shared, 0) AS shared_chars, round(coalesce(shared, 0) / greatest(length(coalesce(text, '')), 1), 6) AS shared_share FROM documents LEFT JOIN s USING (doc_id)""",
 }
 
 

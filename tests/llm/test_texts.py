@@ -116,6 +116,8 @@ def test_page_frames(spark):
         kept = [lines[k] for k in sorted(got[i]) if not got[i][k]]
         assert kept == [f"# Page {i}", f"Body of {i} is long enough to be a real text about volumes and hosts.", f"## Part of {i}", "```", f"run {i}", "```", "Note: keep a backup of the cookies table."], i
     assert 60 not in got and 61 not in got and not any(got[62].values())
+    joined = {(r.page_id, r.line_no, r.frame) for r in P.frame_of_pages(df, most_nodes=0).collect()}
+    assert joined == {(p, n, f) for p, x in got.items() for n, f in x.items()}
     bodies = {r.page_id: r.body for r in P.main_bodies(df).collect()}
     assert len(bodies) == 63 and bodies[60] is None and "Pricing" not in bodies[3]
     assert P.frame_of_pages(df.limit(0)).count() == 0
@@ -138,6 +140,13 @@ def test_cues_need_a_place_in_the_template(spark):
     assert got == {(i, n) for i in range(260) for n in (7, 8)}
 
 
+def test_slots_of_first_words(spark):
+    """Lines of the site whose first words all pages share are frame without any word of page furniture."""
+    texts = [f"# Page {i}\n\nBody of {chr(97 + i % 26)}{chr(97 + i // 26)} about volumes of the site\nSite fact of the day: {chr(97 + i % 26)}{chr(97 + i // 26)} rests" for i in range(260)]
+    df = spark.createDataFrame([(i, f"https://a.example/{i}", f"Page {i}", ["Site", "x"], t) for i, t in enumerate(texts)], "page_id bigint, url string, title string, breadcrumb array<string>, content string")
+    assert {(r.page_id, r.line_no) for r in P.frame_of_pages(df).filter("frame").collect()} == {(i, 3) for i in range(260)}
+
+
 def test_tree_matching_keeps_order():
     x, y = P.Tree("a line one\nb line two\n\n- c\n- d"), P.Tree("b line two\n\n- c\n- e")
     assert P.align(x, y) == {"b line two", "c"}
