@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,9 @@ AFTERWORDS = re.compile(
     r"|otra pregunta|pregunte a quien|espero que (?:lo )?(?:entienda|comprenda)|hay algo m[aá]s|mis (?:normas|reglas)|andere frage|fragen sie|verst[aä]ndnis|kann ich sonst|meine (?:regeln|richtlinien)|autre question|adressez-vous|j'esp[eè]re que vous|puis-je|mes (?:r[eè]gles|consignes)",
     re.I,
 )
+#: Words of which every phrase (afterword) has one: texts without them needn't be searched.
+PHRASE_WORDS = frozenset("i we unable decline fulfilled given help able forbidden permitted allowed prohibited no tengo debo prohibido ich nicht ablehnen keine mir untersagt je ne il pas".split())
+AFTER_WORDS = frozenset("else understand question specialist contact guidelines unsafe closed pregunta pregunte entienda comprenda algo normas reglas frage fragen verständnis verstandnis sonst regeln richtlinien autre adressez espère espere puis règles regles consignes".split())
 PLACEHOLDERS = {"todo", "tbd", "tba", "fixme", "null", "none", "nil", "nan", "n a", "na", "no output", "empty", "placeholder", "nothing", "undefined", "no answer", "no response", "output", "answer", "blank", "missing", "leer", "vacio", "vide", "keine", "ninguno", "aucun", "yaml", "json", "text", "to do", "to be done", "to be defined", "pending", "wip", "sin salida", "keine ausgabe"}
 _FRAME_HEAD = re.compile(r"^\W*(?:(?:q|a|question|answer|request|instruction|prompt|input|output|response|reply|task|user|assistant|description|note|frage|antwort|anfrage|auftrag|pregunta|respuesta|solicitud|demande|réponse|requête|your (?:question|request|instruction) (?:was|is)|you (?:asked|said|wrote)|you asked me|ihre (?:frage|anfrage) (?:war|lautete)|su (?:pregunta|solicitud) (?:era|fue)|votre (?:question|demande) (?:était|etait))\s*[:=\-–—]\s*)+", re.I)
 _MARKS = re.compile(r"^[\s>#*\"'“”‘’`(\[]+")
@@ -71,14 +75,14 @@ def compact(text: str) -> str:
     return "".join(_ALNUM.findall("".join(c for c in flat if not unicodedata.combining(c)))) if not text.isascii() else "".join(_ALNUM.findall(flat))
 
 
-def language(text: str) -> tuple[str, int, int]:
-    """(language, its function words, those of the next): by exclusive and shared function words."""
+def language(words: list[str]) -> tuple[str, int, int]:
+    """(language, its function words, those of the next) of lower-cased words: by exclusive and shared function words."""
     score = dict.fromkeys(FUNCTION_WORDS, 0)
-    for w in _WORD.findall(text.lower()):
+    for w, times in Counter(words).items():
         own = _LANG.get(w)
         if own:
             for k in own:
-                score[k] += 3 if len(own) == 1 else 1
+                score[k] += times * (3 if len(own) == 1 else 1)
     ranked = sorted(score.items(), key=lambda x: -x[1])
     return ranked[0][0], ranked[0][1], ranked[1][1]
 
@@ -153,17 +157,17 @@ def structure(text: str) -> tuple[bool, bool, str, str]:
 
 FIRST_PERSON = set("i we my our us me i'm ich wir mir uns mein meine yo nosotros mi mis nos puedo tengo debo je nous mon mes moi".split())
 #: Letters that speak for a language.
-LETTERS = {"de": re.compile("[äöüß]", re.I), "es": re.compile("[ñ¿¡áíóú]", re.I), "fr": re.compile("[çœèêëîïôûàù]", re.I)}
+LETTERS = {c: k for k, v in {"de": "äöüß", "es": "ñ¿¡áíóú", "fr": "çœèêëîïôûàù"}.items() for c in v + v.upper()}
+_SPECIAL = re.compile("[" + "".join(LETTERS) + "]")
 ANSWERS_TO = {"empty": 5, "copied": 5, "refusal": 6, "wrong_language": 4, "truncated": 6}
 
 
 def letters_of(text: str) -> str:
-    """The language that a text's special letters speak for, or none."""
+    """The language that most of a text's special letters speak for, or none."""
     if text.isascii():
         return ""
-    found = {k: len(p.findall(text)) for k, p in LETTERS.items()}
-    best = max(found, key=found.get)
-    return best if found[best] and list(found.values()).count(found[best]) == 1 else ""
+    found = Counter(LETTERS[c] for c in _SPECIAL.findall(text)).most_common(2)
+    return found[0][0] if found and (len(found) == 1 or found[0][1] > found[1][1]) else ""
 
 
 def tri(yes: bool, no: bool) -> int:
@@ -176,8 +180,8 @@ def votes(instruction: str | None, output: str | None) -> tuple[list[list[int]],
     body = text.strip().strip(" \ufeff\u200b").strip()
     inner = _FENCE.sub("", body).strip()
     config = len(_TOP.findall(inner)) >= 2 or bool(re.match(r"\W*version\s*:\s*\S", inner))
-    words = [w.lower() for w in _ALNUM.findall(inner)]
-    own = [w.lower() for w in _ALNUM.findall(asked)]
+    words = _ALNUM.findall(inner.lower())
+    own = _ALNUM.findall(asked.lower())
     n = len(words)
     bare = inner if config else _FRAME_HEAD.sub("", _MARKS.sub("", inner)).strip()
     none = [NONE] * 6
@@ -188,28 +192,34 @@ def votes(instruction: str | None, output: str | None) -> tuple[list[list[int]],
     if n == 0 or hollow and n <= 6:
         return [empty, none[:5], none, none[:4], none], "", ""
 
-    # equal but for spelling, alike in letters, nothing but repetitions, holding the request whole, of its words
-    copied = none[:5]
-    a = compact(asked)
+    # equal but for spelling, alike in letters, nothing but repetitions, holding the request whole, of its words; a
+    # configuration has keys that no request has, and is not compared
+    copied = [NO, NO, NO, NONE, NONE] if config else none[:5]
+    a = "" if config else compact(asked)
+    asked_words = set(own)
     if len(a) >= 8:
         b, c = compact(bare), compact(inner)
         near = likeness(a, b) if len(b) < 3.5 * len(a) + 60 else 0.0
         rest = c.replace(a, "")
-        shared = sum(w in set(own) for w in words) / n
+        shared = sum(w in asked_words for w in words) / n
         copied = [tri(b == a or c == a, True), tri(near >= 0.8, near < 0.5), tri(c != rest and len(rest) <= 30 and len(rest) < len(a), True), tri(a in c, True), tri(shared >= 0.9, shared < 0.6)]
 
-    # how it begins, what it says, how it takes leave, who speaks, what it takes up, whether it is a configuration
-    plain = bare.replace("\u2019", "'").replace("`", "'")
-    speaks = sum(w in FIRST_PERSON for w in words)
-    taken = len({w for w in words if len(w) > 5} & {w for w in own if len(w) > 5})
+    # how it begins, what it says, how it takes leave, who speaks, what it takes up, whether it is a configuration (of
+    # which only descriptions and reasons are read)
+    told = " ".join(_DESCRIPTION.findall(inner)) if config else inner
+    plain = (told if config else bare).replace("\u2019", "'").replace("`", "'")
+    said = _WORD.findall(told.lower()) if config else words
+    heard = set(said)
+    speaks = sum(w in FIRST_PERSON for w in said)
+    taken = sum(len(w) > 5 for w in asked_words.intersection(words))
     wordy = n > max(60, 2 * len(own))
-    phrase = bool(PHRASES.search(plain))
-    refusal = [tri(bool(OPENINGS.match(plain)), True), tri(phrase and not wordy, not phrase), tri(bool(AFTERWORDS.search(plain)), wordy), tri(speaks > 0 and 12 * speaks >= n, speaks == 0), tri(taken == 0 and n < 60, taken >= 2), tri(False, config)]
+    phrase = not heard.isdisjoint(PHRASE_WORDS) and bool(PHRASES.search(plain))
+    after = not heard.isdisjoint(AFTER_WORDS) and bool(AFTERWORDS.search(plain))
+    refusal = [tri(bool(OPENINGS.match(plain)), True), tri(phrase and not wordy, not phrase), tri(after, wordy), tri(speaks > 0 and 12 * speaks >= len(said), speaks == 0), tri(taken == 0 and n < 60, taken >= 2), tri(False, config)]
 
     # function words of another language, clearly, on both sides in number, its letters
-    told = " ".join(_DESCRIPTION.findall(inner)) if config else inner
-    li, si, ti = language(asked)
-    lo, so, to = language(told)
+    li, si, ti = language(own)
+    lo, so, to = language(said)
     sure = si - ti >= 3 and so - to >= 3
     mine, theirs = letters_of(asked), letters_of(told)
     wrong = [tri(sure and li != lo, sure), tri(sure and li != lo and so >= 1.5 * to, sure and li == lo), tri(li != lo and so >= 6 and si >= 6 and sure, li == lo and sure), tri(bool(theirs) and theirs != li and theirs != mine and sure, bool(theirs) and theirs == li)]
@@ -378,11 +388,11 @@ def planted(rows: list[tuple[str, str]], seed: int = 3) -> list[tuple[str, str,
     by_lang: dict[str, list[str]] = {}
     for _, o in rows:
         if not _TOP.search(o):
-            by_lang.setdefault(language(o)[0], []).append(o)
+            by_lang.setdefault(language(_WORD.findall(o.lower()))[0], []).append(o)
     out = []
     for i, o in rows:
         out += [("empty", i, rnd.choice(PLANTED_EMPTY)), ("copied", i, rnd.choice(COPY_FRAMES).format(i.upper() if rnd.random() < 0.2 else i)), ("refusal", i, rnd.choice(PLANTED_REFUSAL))]
-        others = [k for k in by_lang if k != language(i)[0]]
+        others = [k for k in by_lang if k != language(_WORD.findall(i.lower()))[0]]
         if others:
             out.append(("wrong_language", i, rnd.choice(by_lang[rnd.choice(others)])))
         at = rnd.randint(len(o) // 5, max(len(o) // 5, len(o) - 2))
