@@ -56,7 +56,38 @@ def _params(s, d):
     return G.param_errors(steps, ["row_id", "id"])
 
 
+def _order_steps(s, d):
+    """Order lines as steps of one configuration an order: a line depends on the one before and on one by its part, which may be missing or itself."""
+    near, far = F.col("l_linenumber") - 1, F.col("l_linenumber") + F.col("l_partkey") % 4
+    deps = F.array(F.concat(F.lit("s"), near.cast("string")), F.concat(F.lit("s"), far.cast("string")))
+    return table(s, d, "lineitem").select("l_orderkey", F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("step_id"), deps.alias("depends_on")).distinct()
+
+
+def _order_cycles(s, d):
+    steps = _order_steps(s, d).groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("step_id").alias("id"), "depends_on")).alias("steps"))
+    return steps.select("l_orderkey", G.has_cycle(F.col("steps")).alias("cyclic"))
+
+
+def _order_params(s, d):
+    """A step an order, of five actions by turns, with parameters in and out of their ranges."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda x: x.cast("string")
+    name = F.concat(F.when(k % 3 == 0, F.lit("Ns#")).otherwise(F.lit("ns-")), text(c))
+    params = (
+        F.when(k % 5 == 0, F.create_map(F.lit("worker_count"), text(c % 120)))
+        .when(k % 5 == 1, F.create_map(F.lit("name"), name))
+        .when(k % 5 == 2, F.create_map(F.lit("namespace"), F.lit("a"), F.lit("deployment_name"), F.lit("b"), F.lit("port"), text(k)))
+        .when(k % 5 == 3, F.create_map(F.lit("vm_id"), F.when(c % 2 == 0, text(c)).otherwise(F.concat(F.lit("x"), text(c)))))
+        .otherwise(F.create_map(F.lit("namespace"), F.lit("a"), F.lit("timeout_seconds"), text(c)))
+    )
+    action = F.element_at(F.array(*map(F.lit, ("oneke.cluster.scale_nodes", "oneke.namespace.create", "oneke.service.expose", "one.vm.delete", "oneke.app.wait_ready"))), (k % 5 + 1).cast("int"))
+    return G.param_errors(table(s, d, "orders").select("o_orderkey", action.alias("action"), params.alias("params")), ["o_orderkey"])
+
+
 QUERIES = {
+    "order_params": _order_params,
+    "order_dep_missing": lambda s, d: G.missing_dependencies(_order_steps(s, d), "l_orderkey"),
+    "order_dep_cycles": _order_cycles,
     "yaml_parseable": lambda s, d: G.yaml_parseable(_rows(s, d)),
     "config_validate": lambda s, d: G.validate(_rows(s, d)).select("row_id", "is_valid", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"), "n_steps"),
     "config_extract": lambda s, d: _rows(s, d).filter("output is not null").select("row_id", F.md5(G.extract_yaml(F.col("output"))).alias("yaml")),
@@ -75,7 +106,20 @@ _CHUNKS = r"""c AS (SELECT row_id, unnest(string_split(regexp_replace(output, '(
   steps AS (SELECT row_id, regexp_extract(c, '^(\S+)', 1) AS step_id, list_filter(regexp_split_to_array(regexp_extract(c, '(?m)^    depends_on: *\[([^\]\n]*)\]', 1), ' *, *'), lambda x: x <> '') AS depends_on FROM c),
   deps AS (SELECT row_id, step_id, unnest(depends_on) AS dep FROM steps)"""
 _ACTIONS = r"regexp_extract_all(coalesce(output, ''), '(?m)^ *action: *(\S+)', 1)"
+_ORDER = """steps AS (SELECT DISTINCT l_orderkey, 's' || l_linenumber AS step_id, ['s' || (l_linenumber - 1), 's' || (l_linenumber + l_partkey % 4)] AS depends_on FROM lineitem),
+  deps AS (SELECT l_orderkey, step_id, unnest(depends_on) AS dep FROM steps)"""
 SQL = {
+    "order_params": """WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS a, o_custkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN 'Ns#' ELSE 'ns-' END || o_custkey AS name FROM orders)
+      SELECT o_orderkey, 'worker_count' AS param, 'range' AS problem FROM o WHERE a = 0 AND c % 120 NOT BETWEEN 1 AND 100
+      UNION ALL SELECT o_orderkey, 'name', 'pattern' FROM o WHERE a = 1 AND NOT regexp_matches(name, '^[a-z0-9][a-z0-9\\-]{0,62}$')
+      UNION ALL SELECT o_orderkey, 'port', 'range' FROM o WHERE a = 2 AND o_orderkey NOT BETWEEN 1 AND 65535
+      UNION ALL SELECT o_orderkey, 'vm_id', 'type' FROM o WHERE a = 3 AND c % 2 <> 0
+      UNION ALL SELECT o_orderkey, 'label_selector', 'missing' FROM o WHERE a = 4
+      UNION ALL SELECT o_orderkey, 'timeout_seconds', 'range' FROM o WHERE a = 4 AND c NOT BETWEEN 30 AND 1800""",
+    "order_dep_missing": f"WITH {_ORDER} SELECT l_orderkey, step_id, dep FROM deps d WHERE NOT EXISTS (SELECT 1 FROM steps s WHERE s.l_orderkey = d.l_orderkey AND s.step_id = d.dep) UNION ALL SELECT l_orderkey, step_id, dep FROM deps WHERE step_id = dep",
+    "order_dep_cycles": f"""WITH RECURSIVE {_ORDER}, e AS (SELECT DISTINCT d.l_orderkey, d.step_id AS a, d.dep AS b FROM deps d JOIN steps s ON s.l_orderkey = d.l_orderkey AND s.step_id = d.dep),
+      w AS (SELECT l_orderkey, a, b FROM e UNION SELECT w.l_orderkey, w.a, e.b FROM w JOIN e ON e.l_orderkey = w.l_orderkey AND e.a = w.b)
+      SELECT l_orderkey, EXISTS (SELECT 1 FROM w WHERE w.l_orderkey = s.l_orderkey AND w.a = w.b) AS cyclic FROM (SELECT DISTINCT l_orderkey FROM steps) s""",
     "dep_missing": f"WITH {_CHUNKS} SELECT row_id, step_id, dep FROM deps d WHERE NOT EXISTS (SELECT 1 FROM steps s WHERE s.row_id = d.row_id AND s.step_id = d.dep) UNION ALL SELECT row_id, step_id, dep FROM deps WHERE step_id = dep",
     "dep_cycles": f"""WITH RECURSIVE {_CHUNKS}, e AS (SELECT DISTINCT d.row_id, d.step_id AS a, d.dep AS b FROM deps d JOIN steps s ON s.row_id = d.row_id AND s.step_id = d.dep),
       w AS (SELECT row_id, a, b FROM e UNION SELECT w.row_id, w.a, e.b FROM w JOIN e ON e.row_id = w.row_id AND e.a = w.b)
