@@ -143,11 +143,52 @@ _PARTS = rf"""
 _SLUG = r"regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1)"
 _TITLE = f"array_to_string(list_transform(string_split(translate({_SLUG}, '_-', '  '), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
 _BAD = r"regexp_matches(regexp_replace(path, '/+$', ''), '\.(png|jpg|jpeg|gif|svg|pdf|zip|tar|gz|css|js|xml|json|yaml|yml)$')"
+_NLNL = "chr(10) || chr(10)"
+
+
+def _split_sql(name: str, source: str, level: int, keys: str) -> str:
+    """CTEs that cut source(keys, body) at headings of a level into name(keys, no, heading, part)."""
+    return rf"""{name}_m AS (SELECT {keys}, body, string_split(regexp_replace(body, '(?m)^{"#" * level}\s+(.+)$', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS p FROM {source}),
+  {name}_e AS (SELECT {keys}, body, len(p) AS n, unnest(p) AS x, unnest(generate_series(1, len(p))) AS no FROM {name}_m),
+  {name} AS (SELECT {keys}, no, CASE WHEN no = 1 THEN '' ELSE {_strip("split_part(x, chr(2), 1)")} END AS heading, CASE WHEN n = 1 THEN body WHEN no = 1 THEN {_strip("x")} ELSE {_strip("split_part(x, chr(2), -1)")} END AS part
+    FROM {name}_e WHERE n = 1 OR no > 1 OR regexp_matches(x, '{_NB}'))"""
+
+
+_CHUNKER = f"""WITH RECURSIVE pages AS (SELECT page_id, content AS body FROM scraped_page WHERE regexp_matches(coalesce(content, ''), '{_NB}')),
+  {_split_sql("s2", "pages", 2, "page_id")},
+  w2 AS (SELECT page_id, no AS i, heading AS h2, part AS body, CASE WHEN heading <> '' THEN '## ' || heading || chr(10) || part ELSE part END AS whole FROM s2),
+  big AS (SELECT page_id, i, h2, body FROM w2 WHERE {_tok('whole')} > 1000),
+  {_split_sql("s3", "big", 3, "page_id, i, h2")},
+  w3 AS (SELECT page_id, i, h2, no AS j, heading AS h3, CASE WHEN heading <> '' THEN '### ' || heading || chr(10) || part ELSE part END AS sub FROM s3),
+  bl AS (SELECT page_id, i, j, unnest(string_split(sub, chr(10))) AS line, unnest(generate_series(1, len(string_split(sub, chr(10))))) AS ln FROM w3 WHERE {_tok('sub')} > 1000),
+  bf AS (SELECT *, regexp_matches(line, '^[ \t]*```') AS fence, sum(regexp_matches(line, '^[ \t]*```')::INT) OVER (PARTITION BY page_id, i, j ORDER BY ln) AS upto FROM bl),
+  bg AS (SELECT *, (fence OR upto % 2 = 1) AS code, CASE WHEN fence AND upto % 2 = 0 THEN upto - 1 ELSE upto END AS span FROM bf),
+  bk AS (SELECT *, NOT code AND NOT regexp_matches(line, '\S') AS gap FROM bg),
+  bp AS (SELECT *, sum(gap::INT) OVER (PARTITION BY page_id, i, j ORDER BY ln) AS para FROM bk),
+  bb AS (SELECT page_id, i, j, min(ln) AS ln, regexp_replace(string_agg(line, chr(10) ORDER BY ln), '^[\n ]+|\s+$', '', 'g') AS block FROM bp WHERE NOT gap GROUP BY page_id, i, j, code, span, para),
+  bn AS (SELECT *, {_tok('block')} AS t, row_number() OVER (PARTITION BY page_id, i, j ORDER BY ln) AS k FROM bb WHERE regexp_matches(block, '{_NB}')),
+  pk AS (SELECT page_id, i, j, k, block, t AS cur, 0 AS g FROM bn WHERE k = 1
+    UNION ALL SELECT n.page_id, n.i, n.j, n.k, n.block, CASE WHEN p.cur > 0 AND p.cur + n.t > 1000 THEN n.t ELSE p.cur + n.t END, CASE WHEN p.cur > 0 AND p.cur + n.t > 1000 THEN p.g + 1 ELSE p.g END
+    FROM pk p JOIN bn n ON n.page_id = p.page_id AND n.i = p.i AND n.j = p.j AND n.k = p.k + 1),
+  cuts AS (SELECT page_id, i, 0 AS j, 0 AS g, whole AS text, h2, '' AS h3 FROM w2 WHERE {_tok('whole')} <= 1000
+    UNION ALL SELECT page_id, i, j, 0, sub, h2, h3 FROM w3 WHERE {_tok('sub')} <= 1000
+    UNION ALL SELECT page_id, i, j, g, string_agg(block, {_NLNL} ORDER BY k), any_value(h2), any_value(h3) FROM pk JOIN w3 USING (page_id, i, j) GROUP BY page_id, i, j, g),
+  c1 AS (SELECT c.page_id, text, list_filter([title, h2, h3], lambda x: coalesce(x, '') <> '') AS path, row_number() OVER (PARTITION BY c.page_id ORDER BY i, j, g) AS pos FROM cuts c JOIN scraped_page USING (page_id) WHERE regexp_matches(text, '{_NB}')),
+  c2 AS (SELECT *, {_tok('text')} < 100 AS small, lead(text) OVER w AS nxt, lead(path) OVER w AS npath FROM c1 WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+  c3 AS (SELECT *, pos - row_number() OVER (PARTITION BY page_id, small ORDER BY pos) AS run FROM c2),
+  c4 AS (SELECT *, row_number() OVER (PARTITION BY page_id, small, run ORDER BY pos) AS k FROM c3),
+  c5 AS (SELECT *, small AND nxt IS NOT NULL AND k % 2 = 1 AS head FROM c4),
+  c6 AS (SELECT *, coalesce(lag(head) OVER (PARTITION BY page_id ORDER BY pos), false) AS used FROM c5),
+  c7 AS (SELECT page_id, pos, CASE WHEN head THEN text || {_NLNL} || nxt ELSE text END AS text, CASE WHEN head AND len(npath) > len(path) THEN npath ELSE path END AS path FROM c6 WHERE NOT used),
+  c8 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS idx, list_filter(regexp_split_to_array(lag(text) OVER (PARTITION BY page_id ORDER BY pos), '{_B}+'), lambda x: x <> '') AS w FROM c7),
+  c9 AS (SELECT page_id, idx, path, CASE WHEN len(w) > 195 THEN '[...] ' || array_to_string(w[-195:], ' ') || {_NLNL} || text ELSE text END AS text FROM c8)
+  SELECT coalesce(url_hash, substr(sha256(url), 1, 16)) || '_' || printf('%03d', idx) AS chunk_id, md5({_strip('text')}) AS content, url AS source_url, {_tok('text')} AS token_count, array_to_string(path, ' > ') AS path, contains(text, '```') AS has_code FROM c9 JOIN scraped_page USING (page_id)"""
 _LINKS = """p AS (SELECT section, page_id FROM scraped_page WHERE section IS NOT NULL),
       fs AS (SELECT section, min(page_id) AS f FROM p GROUP BY section),
       links AS (SELECT page_id AS src, lead(page_id) OVER (PARTITION BY section ORDER BY page_id) AS dst FROM p UNION ALL SELECT page_id, lead(page_id, 2) OVER (PARTITION BY section ORDER BY page_id) FROM p
         UNION ALL SELECT f, lead(f) OVER (ORDER BY section) FROM fs)"""
 SQL = {
+    "chunk_rows": _CHUNKER,
     "token_estimate": f"SELECT 'page' AS kind, page_id AS id, {_TOKENS} AS tokens FROM scraped_page UNION ALL SELECT 'chunk', chunk_row, {_TOKENS} FROM doc_chunk",
     "url_parts": rf"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path, substr(sha256(url), 1, 16) AS hash, {_TITLE} AS slug FROM scraped_page",
     "link_filter": rf"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path FROM scraped_page),
