@@ -176,11 +176,11 @@ _LINE = r"regexp_replace(lower(regexp_replace(regexp_replace(line, '[ \t\x{00A0}
 _CODE = "(length(content) - length(regexp_replace(content, '(?s)```.*?```', '', 'g')))"
 # rows in order of arrival; of those with alike rows one after the other is accepted or lost
 _REPLAY = f"""{_GRAMS}, {_ALIKE.format("x.row_id < y.row_id")},
-  o AS (SELECT row_id, e.batch_id, row_number() OVER (ORDER BY coalesce(batch_seq, 9223372036854775807), row_id) AS k FROM eval_raw e LEFT JOIN generation_stats USING (batch_id)),
+  o AS MATERIALIZED (SELECT row_id, e.batch_id, row_number() OVER (ORDER BY coalesce(batch_seq, 9223372036854775807), row_id) AS k FROM eval_raw e LEFT JOIN generation_stats USING (batch_id)),
   l AS (SELECT greatest(x.k, y.k) AS k, list(least(x.k, y.k)) AS before FROM e JOIN o x ON x.row_id = e.a JOIN o y ON y.row_id = e.b GROUP BY 1),
-  q AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM l),
+  q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY k) AS i FROM l),
   z AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS lost UNION ALL SELECT q.i, CASE WHEN len(list_filter(q.before, lambda b: NOT list_contains(z.lost, b))) > 0 THEN list_append(z.lost, q.k) ELSE z.lost END FROM z JOIN q ON q.i = z.i + 1),
-  gone AS (SELECT batch_id, row_id FROM o WHERE k IN (SELECT unnest(lost) FROM z WHERE i = (SELECT max(i) FROM z)))"""
+  gone AS MATERIALIZED (SELECT batch_id, row_id FROM o WHERE k IN (SELECT unnest(lost) FROM z WHERE i = (SELECT max(i) FROM z)))"""
 SQL: dict[str, str] = {
     "p1_found": f"""WITH RECURSIVE {_GRAMS}, {_ALIKE.format("x.row_id < y.row_id")}, s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
       r AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b)
