@@ -55,7 +55,7 @@ def judge_prompt(instruction: Column, output: Column, reference: Column) -> Colu
 
 def result_line(success: Column, label: Column, steps: Column, attempts: Column, seconds: Column, error: Column) -> Column:
     """One line about a run: what it made, in how many steps and attempts, or why it failed."""
-    good = F.format_string("✅  Generated config '%s' with %d step(s) in %d attempt(s) (%.1fs)", label, steps, attempts, seconds)
+    good = F.format_string("✅  Generated config '%s' with %d step(s) in %d attempt(s) (%.1fs)", label, steps, attempts, F.bround(seconds, 1))
     return F.when(success, good).otherwise(F.format_string("❌  Failed after %d attempt(s): %s", attempts, error))
 
 
