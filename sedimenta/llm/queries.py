@@ -114,8 +114,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_shares_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many tokens as the listed sources have: the exponent is bisected to keep to the repeats."""
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), budget_share=1.0)[1]
+    """A quarter more tokens than the listed sources have: the exponent is bisected to keep to the repeats."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), budget_share=1.25)[1]
 
 
 def p9_shares_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
