@@ -373,12 +373,16 @@ def single_defects(posteriors: DataFrame) -> DataFrame:
     return defect_labels(posteriors).select("row_id", F.col("defects")[0].alias("defect"))
 
 
-# What is planted to validate cutoffs; none of the refusals is built from the phrases above.
+# What is planted to validate cutoffs; the second list of refusals has no phrase that a function knows.
 PLANTED_EMPTY = ("", " \n ", "TODO", "...", "```yaml\n```", "n/a", "output:", "{}", "<pending>", "steps:\nmetadata:")
 PLANTED_REFUSAL = (
     "Sorry, that is one I have to leave alone.", "I'm afraid my answer to this is no.", "Unfortunately I can't help with that request.", "This is nothing I will do. Please try another question.",
     "Lo siento, pero no voy a hacer esto.", "Leider kann ich bei dieser Anfrage nicht helfen.", "Je regrette, mais je ne peux pas répondre à cela.", "We would rather not take this on, I hope you understand.",
 )
+UNLISTED_REFUSAL = (
+    "That is outside what I take on.", "You will have to ask somebody else for this one.", "My answer is no.", "This one stays undone.",
+    "Eso queda fuera de mi alcance.", "Das übersteigt meine Aufgaben.", "Cela dépasse mon rôle.", "Not going to happen.",
+)
 COPY_FRAMES = ("{0}", "{0}\n\n{0}", "Request: {0}", "> {0}", "You asked: {0}", '"{0}"')
 
 
@@ -408,7 +412,8 @@ def validated_cutoffs(records: DataFrame, sample: int = 2_000, seed: int = 3) ->
     The label models are those of the whole table.  A bounded sample of pairs
     that no model suspects (``sample`` rows, the first by hash) gets every defect
     planted; one half chooses, for each defect, the cutoff of highest F1, the
-    other half measures it.  CUTOFFS are such cutoffs.
+    other half measures it.  CUTOFFS are such cutoffs.  ``unlisted`` measures
+    refusals in words that no function knows, at the cutoff of refusals.
     """
     voted = cast_votes(records)
     models, _ = label_models(voted)
@@ -424,6 +429,9 @@ def validated_cutoffs(records: DataFrame, sample: int = 2_000, seed: int = 3) ->
         best = max(np.round(np.arange(0.05, 1.0, 0.05), 2), key=lambda t: (_f1(hit[::2], miss[::2], t), -abs(t - 0.5)))
         cutoffs[d] = float(best)
         measured[d] = (float((hit[1::2] > best).mean()) if len(hit) > 1 else 0.0, float((miss[1::2] > best).mean()) if len(miss) > 1 else 0.0)
+    k = DEFECTS.index("refusal")
+    unlisted = models["refusal"].posterior(np.array([pattern(votes(i, o)[0][k]) for i, _ in rows[:200] for o in UNLISTED_REFUSAL], dtype=np.int64)) if rows else np.zeros(1)
+    measured["unlisted"] = (float((unlisted > cutoffs["refusal"]).mean()), measured["refusal"][1])
     return cutoffs, measured
 
 
