@@ -154,7 +154,7 @@ def _split_sql(name: str, source: str, level: int, keys: str) -> str:
     FROM {name}_e WHERE n = 1 OR no > 1 OR regexp_matches(x, '{_NB}'))"""
 
 
-_CHUNKER = f"""WITH RECURSIVE pages AS (SELECT page_id, content AS body FROM scraped_page WHERE regexp_matches(coalesce(content, ''), '{_NB}')),
+_CHUNKER = rf"""WITH RECURSIVE pages AS (SELECT page_id, content AS body FROM scraped_page WHERE regexp_matches(coalesce(content, ''), '{_NB}')),
   {_split_sql("s2", "pages", 2, "page_id")},
   w2 AS (SELECT page_id, no AS i, heading AS h2, part AS body, CASE WHEN heading <> '' THEN '## ' || heading || chr(10) || part ELSE part END AS whole FROM s2),
   big AS (SELECT page_id, i, h2, body FROM w2 WHERE {_tok('whole')} > 1000),
