@@ -262,6 +262,25 @@ def block_pairs(rows: DataFrame, keys: list[str], item: str, match: Callable | N
     return both.select(*keys, "a", "b")
 
 
+def cross_members(links: DataFrame, left: DataFrame, right: DataFrame, block: int = RUN) -> DataFrame:
+    """links(t, h) of classes, left(t, x), right(h, y) -> (x, y): the members of linked classes, whatever their number.
+
+    Members of a class are dealt to blocks, and a link is repeated for every pair
+    of blocks, so that the pairs of two large classes are made by many tasks.
+    """
+    links = staged(links, "class-links")
+
+    def dealt(rows: DataFrame, key: str, item: str, part: str) -> tuple[DataFrame, DataFrame]:
+        own = staged(rows.join(links.select(key).distinct(), key, "left_semi"), "linked-rows")
+        sizes = staged(own.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts")), "link-blocks")
+        placed = own.join(sizes, key).select(key, item, F.pmod(F.xxhash64(item), F.col("parts")).cast("int").alias(part))
+        return placed, sizes.select(key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(part))
+
+    x, of_t = dealt(left, "t", "x", "i")
+    y, of_h = dealt(right, "h", "y", "j")
+    return links.join(of_t, "t").join(of_h, "h").join(x, ["t", "i"]).join(y, ["h", "j"]).select("x", "y")
+
+
 def jaccard_pairs(met: DataFrame, threshold: float) -> DataFrame:
     """met(sig_a, sig_b, old, grams_a, grams_b) -> (sig_a, sig_b, old) of those that are alike."""
     t = Fraction(str(threshold))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.staging import staged
-from .alike import COLD, THRESHOLD, Prefixes, may_match, meetings, pair_text, scan, sketch_of, verify
+from .alike import COLD, THRESHOLD, Prefixes, cross_members, may_match, meetings, pair_text, scan, sketch_of, verify
 from .kernel import slices
 from .sketch import FLAG_A, FLAG_B, LEVEL, Shared, cell_of
 
@@ -117,24 +117,12 @@ def cross_split_overlaps(records: DataFrame, id_col: str = "row_id", instruction
     return held.select("row_id", "side", "sig"), near.unionByName(exact)
 
 
-def overlap_pairs(rows: DataFrame, links: DataFrame, block: int = 256) -> DataFrame:
-    """Pairs of a train and a held-out row whose texts are alike, the smaller id first.
-
-    The train rows of a class are cut into blocks, and a link is repeated for
-    each of them, so that the pairs of a class of very many copies are made by
-    many tasks.
-    """
+def overlap_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of a train and a held-out row whose texts are alike, the smaller id first."""
     either = links.select(F.col("sig_a").alias("t"), F.col("sig_b").alias("h")).unionByName(links.filter("sig_a <> sig_b").select(F.col("sig_b").alias("t"), F.col("sig_a").alias("h")))
-    either = staged(either, "links-both-ways")
-    linked = either.select(F.col("t").alias("sig")).unionByName(either.select(F.col("h").alias("sig"))).distinct()
-    own = staged(rows.join(linked, "sig", "left_semi"), "linked-rows")
-    sizes = staged(own.groupBy("sig", "side").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts")), "link-blocks")
-    dealt = own.join(sizes, ["sig", "side"]).withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int"))
-    blocks = lambda s, c, p: sizes.filter(F.col("side") == s).select(F.col("sig").alias(c), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(p))
-    cut = either.join(blocks(0, "t", "i"), "t").join(blocks(1, "h", "j"), "h")
-    train = dealt.filter("side = 0").select(F.col("sig").alias("t"), F.col("part").alias("i"), F.col("row_id").alias("x"))
-    held = dealt.filter("side = 1").select(F.col("sig").alias("h"), F.col("part").alias("j"), F.col("row_id").alias("y"))
-    both = cut.join(train, ["t", "i"]).join(held, ["h", "j"]).select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
+    train = rows.filter("side = 0").select(F.col("sig").alias("t"), F.col("row_id").alias("x"))
+    held = rows.filter("side = 1").select(F.col("sig").alias("h"), F.col("row_id").alias("y"))
+    both = cross_members(either, train, held).select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
     return both.filter("row_id_a < row_id_b").distinct()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..plans.staging import staged
-from .alike import block_pairs, flag_hot, meetings
+from .alike import block_pairs, cross_members, flag_hot, meetings
 from .kernel import code_points, prefix_hash, range_hash, slices
 from .sketch import keep_ids
 
@@ -224,9 +224,9 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def span_pairs(members: DataFrame, spans: DataFrame) -> DataFrame:
     """Pairs of documents that share a span, the smaller id first: the form that problem 10 asks for."""
-    links = spans.select("sig_a", "sig_b").distinct()
-    of = lambda c: members.select(F.col("sig").alias(f"sig_{c}"), F.col("doc_id").alias(f"x_{c}"))
-    across = links.join(of("a"), "sig_a").join(of("b"), "sig_b").select("x_a", "x_b")
+    links = spans.select(F.col("sig_a").alias("t"), F.col("sig_b").alias("h")).distinct()
+    of = lambda k, x: members.select(F.col("sig").alias(k), F.col("doc_id").alias(x))
+    across = cross_members(links, of("t", "x"), of("h", "y")).select(F.col("x").alias("x_a"), F.col("y").alias("x_b"))
     within = block_pairs(members.filter("cnt > 1").select("sig", "cnt", F.struct("doc_id").alias("item")), ["sig"], "item").select(F.col("a.doc_id").alias("x_a"), F.col("b.doc_id").alias("x_b"))
     both = across.unionByName(within)
     return both.select(F.least("x_a", "x_b").alias("doc_id_a"), F.greatest("x_a", "x_b").alias("doc_id_b")).filter("doc_id_a < doc_id_b").distinct()
