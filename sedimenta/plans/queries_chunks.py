@@ -187,8 +187,14 @@ _LINKS = """p AS (SELECT section, page_id FROM scraped_page WHERE section IS NOT
       fs AS (SELECT section, min(page_id) AS f FROM p GROUP BY section),
       links AS (SELECT page_id AS src, lead(page_id) OVER (PARTITION BY section ORDER BY page_id) AS dst FROM p UNION ALL SELECT page_id, lead(page_id, 2) OVER (PARTITION BY section ORDER BY page_id) FROM p
         UNION ALL SELECT f, lead(f) OVER (ORDER BY section) FROM fs)"""
+_TEXT = lambda c: f"CASE WHEN regexp_matches({c}, '{_NB}') THEN regexp_replace({c}, '{_B}+', ' ', 'g') ELSE '' END"
 SQL = {
     "chunk_rows": _CHUNKER,
+    "html_to_text": rf"""WITH l AS (SELECT page_id, url, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(1, len(string_split(content, chr(10))))) AS no FROM scraped_page WHERE content IS NOT NULL),
+      f AS (SELECT *, starts_with(line, '# ') AS h1, CASE WHEN starts_with(line, '# ') THEN {_NLNL} || '# ' || {_strip("substr(line, 3)")} || chr(10) WHEN starts_with(line, '- ') THEN chr(10) || '- ' || {_TEXT("substr(line, 3)")} ELSE {_NLNL} || {_TEXT("line")} END AS t FROM l),
+      g AS (SELECT page_id, url, string_agg(t, '' ORDER BY no) AS t, CAST(count(*) FILTER (h1 AND regexp_matches(substr(line, 3), '{_NB}')) AS INT) AS n_headings, min_by({_strip("substr(line, 3)")}, no) FILTER (h1 AND regexp_matches(substr(line, 3), '{_NB}')) AS head FROM f GROUP BY page_id, url),
+      c AS (SELECT *, {_strip("regexp_replace(regexp_replace(regexp_replace(t, chr(10) || '{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ([.,;:!?)])', '\\1', 'g')")} AS text FROM g)
+      SELECT url, coalesce(head, {_TITLE}) AS title, substr(sha256(url), 1, 16) AS url_hash, md5(text) AS content, n_headings FROM c WHERE length(text) >= 50""",
     "token_estimate": f"SELECT 'page' AS kind, page_id AS id, {_TOKENS} AS tokens FROM scraped_page UNION ALL SELECT 'chunk', chunk_row, {_TOKENS} FROM doc_chunk",
     "url_parts": rf"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path, substr(sha256(url), 1, 16) AS hash, {_TITLE} AS slug FROM scraped_page",
     "link_filter": rf"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path FROM scraped_page),

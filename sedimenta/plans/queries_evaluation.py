@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import configs as G
 from ..operators import evaluation as E
 from ..session import table
 
@@ -31,25 +32,18 @@ def _quality(s, d):
     return r.select("row_id", E.quality_score(F.col("schema_ok"), F.col("has_rollback"), F.col("has_pre"), F.col("has_post")).alias("quality"))
 
 
-def _duels(s, d):
-    """Generated row against the next id's row: two backends on one request."""
-    q = _results(s, d).select("row_id", "n_chars", E.quality_score(F.col("schema_ok"), F.col("has_rollback"), F.col("has_pre"), F.col("has_post")).alias("q"))
-    b = q.select((F.col("row_id") - 1).alias("row_id"), F.col("q").alias("q2"), F.col("n_chars").alias("n2"))
-    w = E.head_to_head(F.lit("a"), F.col("q"), F.col("n_chars"), F.lit("b"), F.col("q2"), F.col("n2"))
-    return q.join(b, "row_id").select("row_id", w.alias("winner"))
-
-
-def _table(s, d):
-    q = _results(s, d).select("row_id", F.col("has_rollback").cast("int").alias("a_rollback"), F.col("n_chars").alias("a_chars"))
-    b = _results(s, d).select((F.col("row_id") - 1).alias("row_id"), F.col("has_rollback").cast("int").alias("b_rollback"), F.col("n_chars").alias("b_chars"))
-    return E.comparison_table(q.join(b, "row_id"), "row_id", ["rollback", "chars"])
-
-
 def _winner(s, d):
     means = _scores(s, d).groupBy("model", "dimension").agg(F.round(F.avg("score"), 6).alias("m"))
     return E.winner(means.withColumn("ord", F.substring("model", 2, 1).cast("int")), ["dimension"], "model", "m", "ord")
 
 
+def _first_valid(s, d):
+    """Rows of one seed as its attempts in order of their ids, each validated in full."""
+    rows = table(s, d, "eval_raw").filter("seed_id is not null").select("row_id", "seed_id", "output")
+    judged = rows.join(G.validate(rows).select("row_id", "is_valid"), "row_id")
+    return G.first_valid_attempts(judged.select(F.col("seed_id").alias("request_id"), F.col("row_id").alias("attempt"), "is_valid"))
+
+
 QUERIES = {
     "pass_rate_by_group": lambda s, d: E.pass_rates(_results(s, d), ["category", "difficulty"]),
     "cross_run_stats": lambda s, d: E.cross_run(_results(s, d), "run", "category"),
@@ -58,8 +52,8 @@ QUERIES = {
     "judge_averages": lambda s, d: E.judge_means(_scores(s, d), "model", "dimension", "score"),
     "mean_of_means": lambda s, d: E.mean_of_means(_scores(s, d), "model", "dimension", "score"),
     "winner_overall": _winner,
-    "winner_tiebreak": _duels,
-    "comparison_table": _table,
+    "schema_compliance": lambda s, d: E.compliance(G.schema_eval(table(s, d, "eval_raw").select("row_id", "output")), "yaml_ok", "schema_ok"),
+    "first_schema_valid": _first_valid,
     "quality_score": _quality,
     "rate_bars": lambda s, d: E.with_bars(E.pass_rates(_results(s, d), ["category"])).select("dimension", "value", "bar"),
 }
@@ -80,10 +74,6 @@ SQL = {
     "judge_averages": f"WITH {_S} SELECT model, dimension, round(avg(score), 6) AS avg_score, count(*) AS n FROM s GROUP BY ALL",
     "mean_of_means": f"WITH {_S}, m AS (SELECT model, dimension, avg(score) AS m FROM s GROUP BY ALL) SELECT model, round(avg(m), 6) AS overall, count(*) AS dimensions FROM m GROUP BY model",
     "winner_overall": f"WITH {_S}, m AS (SELECT model, dimension, round(avg(score), 6) AS m FROM s GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY m DESC, model) AS n FROM m) SELECT dimension, model AS winner FROM k WHERE n = 1",
-    "winner_tiebreak": f"""WITH {_R}, q AS (SELECT row_id, {_Q} AS q, length(o) AS n FROM r)
-      SELECT a.row_id, CASE WHEN a.q > b.q THEN 'a' WHEN b.q > a.q THEN 'b' WHEN a.n < b.n THEN 'a (faster)' WHEN b.n < a.n THEN 'b (faster)' ELSE 'tie' END AS winner FROM q a JOIN q b ON b.row_id = a.row_id + 1""",
-    "comparison_table": f"""WITH {_R}, x AS (SELECT row_id, 'rollback' AS metric, rb::INT::DOUBLE AS v FROM r UNION ALL SELECT row_id, 'chars', length(o)::DOUBLE FROM r)
-      SELECT a.row_id, a.metric, a.v AS a, b.v AS b, CASE WHEN a.v > b.v THEN 'a' WHEN b.v > a.v THEN 'b' ELSE 'equal' END AS better FROM x a JOIN x b ON b.row_id = a.row_id + 1 AND a.metric = b.metric""",
     "quality_score": f"WITH {_R} SELECT row_id, {_Q} AS quality FROM r",
     "rate_bars": f"WITH {_R} SELECT 'category' AS dimension, coalesce(category, 'unknown') AS value, repeat('█', CAST(trunc(round(count(*) FILTER (passed) / count(*), 6) * 10) AS INT)) AS bar FROM r GROUP BY category UNION ALL SELECT 'all', NULL, repeat('█', CAST(trunc(round(count(*) FILTER (passed) / count(*), 6) * 10) AS INT)) FROM r",
 }

@@ -213,3 +213,26 @@ def test_sections_side_by_side(spark):
     got = {r.page: (r.section, r.depth) for r in crawl_sections(links, bases).collect()}
     assert got == {"a": ("one", 0), "b": ("one", 1), "c": ("one", 2), "x": ("two", 0), "d": ("two", 2), "e": ("two", 3)}
     assert crawl_sections(links, bases.limit(0)).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sedimenta.cli import main
+
+    t = f"{tmp_path}"
+    pages = spark.createDataFrame([("https://h.example/a/", "T", "s", "S", "## One\n" + "deploy the app now. " * 30 + "\n## Two\n" + "delete volumes. " * 40, ["x"], ["h"], ["b"], "hash")], S.PAGE_SCHEMA)
+    S.save_pages(pages, f"{t}/pages")
+    assert main(["pipeline", f"{t}/pages", f"{t}/chunks", f"{t}/store"], spark).first()["ingested"] == 2
+    assert main(["ingest", f"{t}/chunks", f"{t}/store"], spark).first()["ingested"] == 0
+    assert main(["query", f"{t}/store", "delete volumes", "--top-k", "1"], spark).first()["preview"].find("delete") >= 0
+    assert main(["query", f"{t}/store", "deploy", "--context"], spark).first()["context"].startswith("[Source:")
+    assert {r.section: r.chunks for r in main(["stats", f"{t}/store"], spark).collect()} == {"s": 2, None: 2}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "good.yaml").write_text(DEPLOY.replace("one.vm.delete", "one.vm.list"))
+    (tmp_path / "c" / "bad.yaml").write_text("just text")
+    assert {r.name.rsplit("/", 1)[-1]: r.is_valid for r in main(["validate", f"{t}/c"], spark).collect()} == {"good.yaml": True, "bad.yaml": False}
+    assert main(["plan", f"{t}/c"], spark).count() == 2 and main(["apply", f"{t}/c", f"{t}/out"], spark).count() == 1
+    (tmp_path / "e.jsonl").write_text('{"instruction": "i", "output": "just text"}\n')
+    assert main(["eval", f"{t}/e.jsonl"], spark).first()["schema_rate"] == 0
+    assert main(["config"], spark).count() == 7 and main(["run", "chunk_stats", "/root/testdata/sf0.001"], spark).count() == 1
+    with pytest.raises(SystemExit):
+        main(["nothing"], spark)
