@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..plans.staging import bounded, staged
+from ..plans.staging import bounded, discard, staged
 from .kernel import Words, bounds, distinct, mix, pack, paragraphs, slices, triples, unpack
 from .sketch import FLAG_A, FLAG_B, LEVEL, Shared, SketchWriter, cell_of, keep_ids, level, merge_sketch, sketch_bits
 
@@ -91,8 +91,14 @@ def scan(rows: DataFrame, lines: bool = False) -> tuple[DataFrame, DataFrame, in
         for s in (0, 1):
             yield from sketches(s, writers[s].flush())
 
-    out = staged(rows.select("row_id", "text", "side").mapInArrow(run, SCAN), "scan")
-    return out.filter("part is null").select("row_id", "sig", "n", "side"), out.filter("part is not null").select("part", "data", "side"), bits
+    made = rows.select("row_id", "text", "side").mapInArrow(run, SCAN).withColumn("sketch", F.col("part").isNotNull().cast("int"))
+    out = staged(made, "scan", partition_by=["sketch"])
+    signs, parts = out.filter("sketch = 0").select("row_id", "sig", "n", "side"), out.filter("sketch = 1").select("part", "data", "side")
+    folders = {f.rsplit("/", 1)[0] for f in out.inputFiles()}
+    own = [f for f in folders if f.endswith("/sketch=1")]
+    if own:  # read as a table of its own, so that it can be deleted
+        parts = rows.sparkSession.read.schema("part int, data binary, side int").parquet(own[0])
+    return signs, parts, bits
 
 
 def prefix_length(n: np.ndarray, t: Fraction) -> np.ndarray:
@@ -132,6 +138,9 @@ class Prefixes:
         keep = self.fresh[text]
         self.all_text, self.all_gram = text[keep], gram[keep]
         cell = cell_of(cells, self.all_gram)
+        elsewhere = np.bincount(self.all_text[(cell & LEVEL) > 1], minlength=len(texts))
+        #: whether enough of a class's triples occur in other classes for it to be alike to any
+        self.able = elsewhere * t.denominator >= self.n * t.numerator
         key = (self.all_text.astype(np.uint64) << np.uint64(46)) | ((cell & LEVEL).astype(np.uint64) << np.uint64(40)) | self.all_gram
         order = np.argsort(key)
         text, gram, cell = self.all_text[order], self.all_gram[order], cell[order]
@@ -151,7 +160,8 @@ def postings(rows: DataFrame, cells: np.ndarray, threshold: float = THRESHOLD) -
     """A row per class (in each task) and prefix triple that may occur elsewhere.
 
     Triples that the sketch knows to be single can't lead to a partner and are
-    left out after the prefix is cut.  ``hot``: more than RUN classes may have it.
+    left out after the prefix is cut, and so are classes with too few others: an
+    alike partner holds the threshold's share of them.  ``hot``: more than RUN classes may have it.
     """
     t = Fraction(str(threshold))
     shared = Shared(rows.sparkSession, cells)
@@ -166,7 +176,7 @@ def postings(rows: DataFrame, cells: np.ndarray, threshold: float = THRESHOLD) -
             for a, b in slices(texts):
                 p = Prefixes(texts[a:b], sk, t, seen, sides[a:b])
                 lev = p.cell & LEVEL
-                ok = lev > 1
+                ok = (lev > 1) & p.able[p.text]
                 if not ok.any():
                     continue
                 text = p.text[ok]
@@ -303,6 +313,25 @@ def _common(x: bytes, y: bytes, t: Fraction) -> float:
     return o / union if o * t.denominator >= t.numerator * union else 0.0
 
 
+def gram_sets(rows: DataFrame, order: bool = False) -> DataFrame:
+    """row_id, grams (packed set of triples), run (packed triples in the order of the text, if asked for) of rows(row_id, text)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                w = Words(texts[a:b])
+                first, raw = triples(w)
+                text, gram = distinct(w.text[first], raw)
+                at = bounds(text, b - a)
+                sets = [pack(gram[x:y]) for x, y in zip(at[:-1], at[1:])]
+                run = bounds(w.text[first], b - a)
+                runs = [pack(raw[x:y]) for x, y in zip(run[:-1], run[1:])] if order else [None] * (b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets, pa.binary()), pa.array(runs, pa.binary())], names=["row_id", "grams", "run"])
+
+    return rows.select("row_id", "text").mapInArrow(cut, "row_id bigint, grams binary, run binary")
+
+
 def verify(rows: DataFrame, signs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, name: str = "edges", coverage: bool = False) -> DataFrame:
     """Of distinct pairs (sig_a, sig_b) those that are alike, with their similarity, staged.  Only texts of candidate classes are cut again.
 
@@ -316,21 +345,7 @@ def verify(rows: DataFrame, signs: DataFrame, pairs: DataFrame, threshold: float
     reps = staged(reps, name + "-reps")
     chosen = keep_ids(rows.select("row_id", "text"), "row_id", reps.select("row_id"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = batch.column(0)
-            for a, b in slices(texts):
-                w = Words(texts[a:b])
-                first, raw = triples(w)
-                text, gram = distinct(w.text[first], raw)
-                at = bounds(text, b - a)
-                sets = [pack(gram[x:y]) for x, y in zip(at[:-1], at[1:])]
-                run = bounds(w.text[first], b - a)
-                order = [pack(raw[x:y]) for x, y in zip(run[:-1], run[1:])] if coverage else [None] * (b - a)
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(sets, pa.binary()), pa.array(order, pa.binary())], names=["row_id", "grams", "run"])
-
-    grams = chosen.mapInArrow(cut, "row_id bigint, grams binary, run binary").join(reps, "row_id").select("sig", "grams", *["run"] * coverage)
+    grams = gram_sets(chosen, coverage).join(reps, "row_id").select("sig", "grams", *["run"] * coverage)
     side = lambda s: grams.select(*[F.col(c).alias(f"{c}_{s}") for c in grams.columns])
     met = pairs.join(side("a"), "sig_a").join(side("b"), "sig_b")
     met = met.select("sig_a", "sig_b", "grams_a", "grams_b", *["run_a", "run_b"] * coverage)
@@ -359,4 +374,8 @@ def _covered(run: np.ndarray, other: np.ndarray) -> float:
 
 
 def sketch_of(parts: DataFrame, bits: int, crossing: bool = False) -> np.ndarray:
-    return merge_sketch(parts, "side", bits) if crossing else merge_sketch(parts.drop("side"), None, bits)
+    """The merged sketch; its records are deleted, as they take more room than the signatures."""
+    cells = merge_sketch(parts, "side", bits) if crossing else merge_sketch(parts.drop("side"), None, bits)
+    if all("/sketch=1/" in f for f in parts.inputFiles()):
+        discard(parts)
+    return cells
