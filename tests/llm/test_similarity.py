@@ -268,3 +268,41 @@ def test_deliveries_and_lost_batches(spark, tmp_path):
     got = {r.row_id for r in again.admit(rest).collect()}
     order = first.select("row_id", F.lit(0).alias("arrival"), "instruction", "output").unionByName(rest.select("row_id", F.lit(1).alias("arrival"), "instruction", "output"))
     assert once | got == {r.row_id for r in History(spark, f"file://{tmp_path}/whole", buckets=2).admit(order).collect()}
+
+
+def lines_of(text):
+    return [tuple(w) for w in map(WORD.findall, text.lower().split("\n")) if len(w) >= 4]
+
+
+def test_paragraphs_of_a_replay(spark, monkeypatch):
+    """Paragraphs are kept only where coverage reads them, and then of all rows: of copies, and of copies with other line breaks."""
+    from sedimenta.llm.history import ACCEPTED, PARAGRAPH, History
+
+    rnd = random.Random(8)
+    line = lambda: " ".join(f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(3, 9)))
+    base = [[line() for _ in range(rnd.randint(2, 7))] for _ in range(24)]
+    texts = ["\n".join(t) for t in base]
+    texts += ["\n".join(t) for t in base[:6]]  # whole copies
+    texts += [" ".join(t).replace(" ", "\n", 1) for t in base[6:12]]  # the same words in other lines
+    texts += ["\n".join([*t, "one more line of words"]) for t in base[12:18]] + [" ".join(t).replace(" ", "\n", 1) for t in base[6:9]]
+    ids = ["b0" if i < 33 else "b1" for i in range(len(texts))]
+    for i in range(24, 28):
+        ids[i] = "b1"
+    df, whole = frame(spark, texts, batch_id=ids)
+    df = df.coalesce(1)  # copies meet in one task
+    batches = spark.createDataFrame([("b0", 0, 0), ("b1", 1, 0)], "batch_id string, batch_seq bigint, duplicates_removed bigint")
+    kept, drop = [], History.drop
+
+    def seen(self):
+        kept.append({(r.delivery, r.kind) for r in spark.table(self.table).select("delivery", "kind").distinct().collect()})
+        drop(self)
+
+    monkeypatch.setattr(History, "drop", seen)
+    plain = {r.row_id for r in replay(df, batches).collect()}
+    covered = {r.row_id: r.coverage for r in replay(df, batches, covered=True).collect()}
+    assert set(covered) == plain
+    before = {x for i, t in whole.items() if ids[i] == "b0" for x in lines_of(t)}
+    want = {i: sum(len(x) for x in lines_of(whole[i]) if ids[i] == "b1" and x in before) / len(WORD.findall(whole[i].lower())) for i in plain}
+    assert covered == {i: pytest.approx(v, abs=1e-6) for i, v in want.items()} and sum(v > 0.5 for v in want.values()) > 8
+    assert not [k for k in kept[0] if k[1] == PARAGRAPH] and {d for d, k in kept[1] if k == PARAGRAPH} == {0}
+    assert all({d for d, k in ks if k == ACCEPTED} == {0} for ks in kept)
